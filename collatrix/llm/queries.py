@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, repetition, simhash
+from . import mixing, repetition, simhash, suffix_dedup
 from .common import table
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
@@ -25,7 +29,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op5_mixing, op9_quality_rules)}
+    return {f.__name__: f for f in (op3_suffix_dedup, op4_simhash, op5_mixing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
