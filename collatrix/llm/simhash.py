@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_intdigest, xxh64_intdigest
 
-from .common import checkpointed, in_chunks, ragged
+from .common import checkpointed, in_chunks, mix64, ragged
 
 CHUNK_BYTES = 4 << 20
 SPREAD_ROWS = 10_000
@@ -39,46 +39,54 @@ HALVES: tuple[Section, ...] = ((0, 31, 1), (32, 31, 1))
 LANE = 255
 
 
-def fingerprints(texts: list[str | None], shingle: int = 3, seed: int = 42) -> np.ndarray:
-    """The unsigned fingerprints of whole texts."""
+def fingerprints(texts: list[str | None], shingle: int = 3, words: int = 1, seed: int = 42) -> np.ndarray:
+    """The fingerprints of whole texts, `words` columns of 64 bits: the first from XXH64, two more from XXH3's 128."""
     hashes: list[int] = []
+    longer: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
+        own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if not own:
             continue
-        line = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        line = b" ".join(own)
+        ends = np.cumsum([len(w) + 1 for w in own]) - 1
         starts = [0, *(ends[:-1] + 1).tolist()]
-        own = [xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist())]
-        counts[i] = len(own)
-        hashes += own
-    out = np.zeros(len(texts), np.uint64)
+        pieces = [line[a:b] for a, b in zip(starts, ends[min(shingle, len(own)) - 1 :].tolist())]
+        counts[i] = len(pieces)
+        hashes += [xxh64_intdigest(x, seed) for x in pieces]
+        if words > 1:
+            longer += [xxh3_128_intdigest(x, seed) for x in pieces]
+    out = np.zeros((len(texts), words), np.uint64)
     full = np.flatnonzero(counts)
     if not len(full):
         return out
-    h = np.array(hashes, np.uint64)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+    h = np.empty((len(hashes), words), np.uint64)
+    h[:, 0] = hashes
+    if words > 1:
+        h[:, 1:] = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in longer), "<u8").reshape(-1, 2)
     starts = np.cumsum(counts[full]) - counts[full]
-    pieces = np.unique(np.concatenate([starts, *(s + np.arange(LANE, n, LANE) for s, n in zip(starts, counts[full]) if n > LANE)]))
-    lanes = np.add.reduceat(bits, pieces, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int64)
-    sums = np.add.reduceat(lanes, np.searchsorted(pieces, starts), axis=0)
+    cuts = np.unique(np.concatenate([starts, *(s + np.arange(LANE, n, LANE) for s, n in zip(starts, counts[full]) if n > LANE)]))
+    # Eight counts of a byte each are added as one integer; no lane runs over within LANE rows.
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little").view(np.uint64)
+    lanes = np.add.reduceat(bits, cuts, axis=0).view(np.uint8).reshape(-1, 64 * words).astype(np.int64)
+    sums = np.add.reduceat(lanes, np.searchsorted(cuts, starts), axis=0)
     set_bits = (2 * sums > counts[full][:, None]).astype(np.uint8)
-    out[full] = np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    out[full] = np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64).reshape(-1, words)
     return out
 
 
-def with_fingerprints(docs: DataFrame, text_column: str = "text", keep: list[str] | None = None, shingle: int = 3, name: str = "fp") -> DataFrame:
-    """The `keep` columns and the fingerprint as a signed bigint."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c != name]
+def with_fingerprints(docs: DataFrame, text_column: str = "text", keep: list[str] | None = None, shingle: int = 3, names: Sequence[str] = ("fp",)) -> DataFrame:
+    """The `keep` columns and the fingerprint as signed bigints, one for each of `names` (one or three)."""
+    names = list(names)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     ins = docs.select(*dict.fromkeys([*keep, text_column]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, text_column, CHUNK_BYTES):
-            found = fingerprints(batch.column(text_column).to_pylist(), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(found)], names=[*keep, name])
+            found = fingerprints(batch.column(text_column).to_pylist(), shingle, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, *(pa.array(found[:, i]) for i in range(len(names)))], names=[*keep, *names])
 
-    return ins.mapInArrow(run, T.StructType([*(ins.schema[c] for c in keep), T.StructField(name, T.LongType())]))
+    return ins.mapInArrow(run, T.StructType([*(ins.schema[c] for c in keep), *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 def syndromes(part: np.ndarray, code: int) -> np.ndarray:
@@ -162,37 +170,47 @@ def compare_anchors(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, thres
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
+def node_numbers(fps: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each fingerprint: itself if it has one word."""
+    node = fps[:, 0].copy()
+    for i in range(1, fps.shape[1]):
+        node = mix64(node) ^ fps[:, i]
+    return node.view(np.int64)
+
+
 def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Section], threshold: int) -> DataFrame:
-    """Pairs (a, b) of `node` that connect what fingerprints within `threshold` at a common anchor connect."""
+    """Pairs (a, b) of node numbers that connect what fingerprints within `threshold` at a common anchor connect."""
     words = list(words)
 
+    def stacked(data: pa.RecordBatch | pa.Table) -> np.ndarray:
+        return np.stack([data.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
+
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, SPREAD_ROWS):
-                own = batch.slice(start, SPREAD_ROWS)
-                fps = np.stack([own.column(w).to_numpy(zero_copy_only=False).view(np.uint64) for w in words], axis=1)
+                fps = stacked(batch.slice(start, SPREAD_ROWS))
                 index, key, home = anchors(fps, sections)
-                columns = [pa.array(key), pa.array(home), pa.array(own.column("node").to_numpy(zero_copy_only=False)[index])]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(fps[index, i].view(np.int64)) for i in range(len(words)))], names=["anchor", "home", "node", *words])
+                yield pa.RecordBatch.from_arrays([pa.array(key << 1 | home), *(pa.array(fps[index, i].view(np.int64)) for i in range(len(words)))], names=["place", *words])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
             if table.num_rows > 1:
-                fps = np.stack([table.column(w).to_numpy().view(np.uint64) for w in words], axis=1)
-                node = table.column("node").to_numpy()
-                a, b = compare_anchors(table.column("anchor").to_numpy(), fps, table.column("home").to_numpy(), threshold)
+                fps, place = stacked(table), table.column("place").to_numpy()
+                a, b = compare_anchors(place >> 1, fps, (place & 1).astype(bool), threshold)
+                node = node_numbers(fps)
                 a, b = node[a], node[b]
                 apart = a != b
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[apart]), pa.array(np.maximum(a, b)[apart])], names=["a", "b"])
+                pairs = np.unique(np.stack([np.minimum(a, b)[apart], np.maximum(a, b)[apart]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor = batch.column("anchor").to_numpy(zero_copy_only=False)
+            anchor = batch.column("place").to_numpy() >> 1
             cut = int(np.searchsorted(anchor, anchor[-1]))
-            if cut or (held and held[-1].column("anchor")[-1].as_py() != anchor[0]):
+            if cut or (held and held[-1].column("place")[-1].as_py() >> 1 != anchor[0]):
                 yield from done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
             held.append(batch.slice(cut))
@@ -200,8 +218,9 @@ def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Sectio
             yield from done(pa.Table.from_batches(held))
 
     shape = ", ".join(f"{w} long" for w in words)
-    rows = nodes.select("node", *words).mapInArrow(spread, f"anchor long, home boolean, node long, {shape}")
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
+    rows = nodes.select(*words).mapInArrow(spread, f"place long, {shape}")
+    dealt = rows.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -227,8 +246,14 @@ def components(pairs: DataFrame) -> DataFrame:
 def near_groups(marked: DataFrame, words: Sequence[str] = ("fp",), sections: Sequence[Section] = HALVES, threshold: int = THRESHOLD, id_column: str = "doc_id") -> DataFrame:
     """(words, component_id, least_id) for every distinct fingerprint of `marked` (id, words)."""
     words = list(words)
-    node = F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)
-    nodes = checkpointed(marked.groupBy(*words).agg(F.min(id_column).alias("least_id")).withColumn("node", node))
+
+    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.stack([batch.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node_numbers(fps))], names=[*batch.schema.names, "node"])
+
+    distinct = marked.groupBy(*words).agg(F.min(id_column).alias("least_id"))
+    nodes = checkpointed(distinct.mapInArrow(number, T.StructType([*distinct.schema.fields, T.StructField("node", T.LongType())])))
     labels = components(near_pairs(nodes, words, sections, threshold))
     linked = labels.join(nodes.select("node", "least_id"), "node")
     named = linked.groupBy("label").agg(F.min("least_id").alias("component_id"))
@@ -242,5 +267,26 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return marked.join(near_groups(marked, id_column=id_column).drop("least_id"), "fp").select(id_column, "fp", "component_id")
 
 
+#: For groups by similarity: fingerprints of 192 bits in eight sections of 24, each a Hamming code on 15 bits and 9 free.
+LONG_WORDS = ("fp0", "fp1", "fp2")
+LONG_SECTIONS: tuple[Section, ...] = tuple((24 * i, 15, 9) for i in range(8))
+#: Differing bits of 192 at a similarity of 0.8: shingle sets with Jaccard 0.8 have cosine 0.89, so an angle of 0.15 pi,
+#: and 29 bits differ in the mean; a tenth more are allowed for their spread.
+LONG_THRESHOLD = 32
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5) -> DataFrame:
+    """`docs` with the row of least id of each group of near copies (five-word shingles, similarity 0.8 or more).
+
+    Rows that share an id stay or go together; rows without id stay only where their group has no id.
+    """
+    names = list(LONG_WORDS)
+    marked = checkpointed(with_fingerprints(docs, text_column, [id_column], shingle, names))
+    groups = near_groups(marked, names, LONG_SECTIONS, LONG_THRESHOLD, id_column)
+    mine = marked.join(groups.select(*names, "component_id"), names)
+    gone = mine.where(~F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_column).eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def hex16(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
