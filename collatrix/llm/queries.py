@@ -9,8 +9,9 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, mixing, repetition, simhash, suffix_dedup, token_counts
+from . import ann, bpe, chat, mixing, repetition, simhash, site_quality, suffix_dedup, token_counts
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,6 +46,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's host is its source and its path the language within it."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return site_quality.judge(docs, labels, F.col("source"), F.col("lang"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
@@ -80,7 +87,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_suffix_dedup, op4_simhash, op5_mixing, op7_nearest, op8_token_counts, op9_quality_rules, op10_chat)}
+    return {f.__name__: f for f in (op2_bpe, op3_suffix_dedup, op4_simhash, op5_mixing, op6_site_quality, op7_nearest, op8_token_counts, op9_quality_rules, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
