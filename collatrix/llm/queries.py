@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, mixing, repetition, simhash, site_quality, suffix_dedup, token_counts
+from . import ann, bpe, chat, mixing, page_text, repetition, simhash, site_quality, suffix_dedup, token_counts
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,6 +35,10 @@ def digest_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     encode, decode = bpe.encode_batches(path), bpe.decode_batches(path)
@@ -87,7 +91,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_suffix_dedup, op4_simhash, op5_mixing, op6_site_quality, op7_nearest, op8_token_counts, op9_quality_rules, op10_chat)}
+    return {f.__name__: f for f in (op1_page_text, op2_bpe, op3_suffix_dedup, op4_simhash, op5_mixing, op6_site_quality, op7_nearest, op8_token_counts, op9_quality_rules, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
