@@ -7,7 +7,8 @@ A fingerprint stands at home, and is replicated to every anchor within radius pl
 most). Whatever lies within the threshold of x is then at x's home, and the two are compared there.
 
 Equal fingerprints are one node from the start, so a group of exact copies takes one row however large it is. A large
-group at an anchor yields a spanning forest of its links rather than all of them. Pairs that compare as near are contracted to components by rounds of minimum labels with pointer jumping, on checkpoints.
+group at an anchor yields a spanning forest of its links rather than all of them, and links between fingerprints that
+share a home are made before any is replicated. Pairs that compare as near are contracted to components by rounds of minimum labels with pointer jumping, on checkpoints.
 
 Defined results: null and empty texts have no shingle and the fingerprint zero, and link like any other; repeated
 rows and ids fall together; a null id never names a component unless its component has no other; an empty table gives
@@ -97,8 +98,8 @@ def syndromes(part: np.ndarray, code: int) -> np.ndarray:
     return out
 
 
-def anchors(fps: np.ndarray, sections: Sequence[Section]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index into fps, anchor key, whether it is the home) for every anchor within 2 of each section."""
+def anchors(fps: np.ndarray, sections: Sequence[Section], home_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into fps, anchor key, whether it is the home) for every anchor within 2 of each section, or the homes."""
     index, key, home = [], [], []
     every = np.arange(len(fps))
     for number, (offset, code, free) in enumerate(sections):
@@ -117,6 +118,8 @@ def anchors(fps: np.ndarray, sections: Sequence[Section]) -> tuple[np.ndarray, n
             home.append(np.full(len(at), is_home))
 
         put(every, nearest, True)
+        if home_only:
+            continue
         for i in range(code, size):
             put(every, nearest ^ (1 << i), False)
         words = every[s == 0]
@@ -151,22 +154,28 @@ def forest(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
-def compare_anchors(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs within `threshold` for rows in the order of whole anchors: at home against all, or a forest of them."""
+def compare_anchors(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, label: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of differing labels within `threshold`, for rows in the order of whole anchors: those at home against
+    all of their anchor, or in large groups a forest of the links."""
     first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     size = np.diff(np.r_[first, len(anchor)])
     homes = np.add.reduceat(home.astype(np.int64), first)
-    large = (size > LARGE_GROUP) & (homes > 0)
+    mixed = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
+    large = (size > LARGE_GROUP) & (homes > 0) & mixed
     row_group = np.repeat(np.arange(len(first)), size)
-    rows = np.flatnonzero(home & ~large[row_group] & (size[row_group] > 1))
+    rows = np.flatnonzero(home & (mixed & ~large)[row_group])
     a = np.repeat(rows, size[row_group[rows]])
     b = ragged(first[row_group[rows]], size[row_group[rows]])
+    apart = label[a] != label[b]
+    a, b = a[apart], b[apart]
     near = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= threshold
     found_a, found_b = [a[near]], [b[near]]
     for g in np.flatnonzero(large):
         x, y = forest(fps[first[g] : first[g] + size[g]], threshold)
-        found_a.append(x + first[g])
-        found_b.append(y + first[g])
+        x, y = x + first[g], y + first[g]
+        apart = label[x] != label[y]
+        found_a.append(x[apart])
+        found_b.append(y[apart])
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
@@ -178,8 +187,11 @@ def node_numbers(fps: np.ndarray) -> np.ndarray:
     return node.view(np.int64)
 
 
-def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Section], threshold: int) -> DataFrame:
-    """Pairs (a, b) of node numbers that connect what fingerprints within `threshold` at a common anchor connect."""
+def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Section], threshold: int, home_only: bool = False) -> DataFrame:
+    """Pairs (a, b) of labels that connect what fingerprints within `threshold` at a common anchor connect.
+
+    `nodes` has the words and a label for each fingerprint; links inside one label are known and left out.
+    """
     words = list(words)
 
     def stacked(data: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -188,21 +200,20 @@ def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Sectio
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, SPREAD_ROWS):
-                fps = stacked(batch.slice(start, SPREAD_ROWS))
-                index, key, home = anchors(fps, sections)
-                yield pa.RecordBatch.from_arrays([pa.array(key << 1 | home), *(pa.array(fps[index, i].view(np.int64)) for i in range(len(words)))], names=["place", *words])
+                own = batch.slice(start, SPREAD_ROWS)
+                fps = stacked(own)
+                index, key, home = anchors(fps, sections, home_only)
+                columns = [pa.array(key << 1 | home), pa.array(own.column("label").to_numpy()[index]), *(pa.array(fps[index, i].view(np.int64)) for i in range(len(words)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["place", "label", *words])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
             if table.num_rows > 1:
-                fps, place = stacked(table), table.column("place").to_numpy()
-                a, b = compare_anchors(place >> 1, fps, (place & 1).astype(bool), threshold)
-                node = node_numbers(fps)
-                a, b = node[a], node[b]
-                apart = a != b
-                pairs = np.unique(np.stack([np.minimum(a, b)[apart], np.maximum(a, b)[apart]], axis=1), axis=0)
+                place, label = table.column("place").to_numpy(), table.column("label").to_numpy()
+                a, b = compare_anchors(place >> 1, stacked(table), (place & 1).astype(bool), label, threshold)
+                pairs = np.unique(np.stack([np.minimum(label[a], label[b]), np.maximum(label[a], label[b])], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -218,7 +229,7 @@ def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Sectio
             yield from done(pa.Table.from_batches(held))
 
     shape = ", ".join(f"{w} long" for w in words)
-    rows = nodes.select(*words).mapInArrow(spread, f"place long, {shape}")
+    rows = nodes.select("label", *words).mapInArrow(spread, f"place long, label long, {shape}")
     dealt = rows.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
@@ -250,15 +261,17 @@ def near_groups(marked: DataFrame, words: Sequence[str] = ("fp",), sections: Seq
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.stack([batch.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node_numbers(fps))], names=[*batch.schema.names, "node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node_numbers(fps))], names=[*batch.schema.names, "label"])
 
     distinct = marked.groupBy(*words).agg(F.min(id_column).alias("least_id"))
-    nodes = checkpointed(distinct.mapInArrow(number, T.StructType([*distinct.schema.fields, T.StructField("node", T.LongType())])))
-    labels = components(near_pairs(nodes, words, sections, threshold))
-    linked = labels.join(nodes.select("node", "least_id"), "node")
-    named = linked.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    tied = linked.join(named, "label").select("node", "component_id")
-    return nodes.join(tied, "node", "left").select(*words, F.coalesce("component_id", "least_id").alias("component_id"), "least_id")
+    nodes = checkpointed(distinct.mapInArrow(number, T.StructType([*distinct.schema.fields, T.StructField("label", T.LongType())])))
+    # Most near copies share a home. These links come first, from one row a section, so that the replicas of a large
+    # group find its members under one label already and add next to nothing.
+    for home_only in (True, False):
+        joined = components(near_pairs(nodes, words, sections, threshold, home_only)).toDF("label", "root")
+        nodes = checkpointed(nodes.join(joined, "label", "left").select(*words, "least_id", F.coalesce("root", "label").alias("label")))
+    named = nodes.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    return nodes.join(named, "label").select(*words, "component_id", "least_id")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3) -> DataFrame:
