@@ -2,7 +2,7 @@
 
 The pages of a host are read as tokens: each place of the page tree (a path of block elements with their class and id)
 and each text that stands outside an article. A token's occurrence vector says how often it occurs on each page of
-the host. It is never built: the sum of hashes of (page, count) and the number of pages stand for it, and sum up
+the host. It is never built: two sums of hashes of (page, count) and the number of pages stand for it, and add up
 task by task, so a host with a third of all pages is a few partial sums. Tokens with equal vectors form a class; a
 class is valid if it has two tokens or more and occurs on enough of the host's pages. Valid classes nest by their paths
 into the host's template; a text in one is part of the template, and what else has text is a slot.
@@ -195,16 +195,16 @@ def key_of(*parts: str | bytes) -> int:
 
 # ------------------------------------------------------------------------------------------ occurrence vectors
 
-TOKEN_SCHEMA = "host string, token long, path string, is_text boolean, vector long, pages long, chars long, links long, level int, out boolean"
+TOKEN_SCHEMA = "host string, token long, path string, is_text boolean, vector0 long, vector1 long, pages long, chars long, links long, level int, out boolean"
 
 
 def scan_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The tokens of a task's pages by host: sums that stand for occurrence vectors, pages and characters."""
-    sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
 
     def put() -> pa.RecordBatch:
-        rows = [(*k[:1], _signed(k[1]), *k[2:4], _signed(v[0] & _ALL), *v[1:], *k[4:]) for k, v in sums.items()]
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        rows = [(k[0], _signed(k[1]), *k[2:4], *v, *k[4:]) for k, v in sums.items()]
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
         names = [f.split()[0] for f in TOKEN_SCHEMA.split(", ")]
         made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
         sums.clear()
@@ -223,10 +223,12 @@ def scan_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     counts[(host, key_of("text", u.path, u.text), u.path, True, u.level, u.out)] += 1
             for token, count in counts.items():
                 held = sums[token]
-                held[0] += key_of(page, str(count))
-                held[1] += 1
-                held[2] += sizes[token][0] if token in sizes else 0
-                held[3] += sizes[token][1] if token in sizes else 0
+                cell = key_of(page, str(count))
+                held[0] += cell >> 32
+                held[1] += cell & 0xFFFFFFFF
+                held[2] += 1
+                held[3] += sizes[token][0] if token in sizes else 0
+                held[4] += sizes[token][1] if token in sizes else 0
         if len(sums) > 100_000:
             yield put()
     if sums:
@@ -243,10 +245,10 @@ def _signed(x: int) -> int:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, tokens): the valid classes of each host, from pages (host, page, html)."""
     scanned = pages.mapInArrow(scan_tokens, TOKEN_SCHEMA)
-    sums = scanned.groupBy("host", "token", "path", "is_text", "level", "out").agg(*(F.sum(c).alias(c) for c in ("vector", "pages", "chars", "links")))
+    sums = scanned.groupBy("host", "token", "path", "is_text", "level", "out").agg(*(F.sum(c).alias(c) for c in ("vector0", "vector1", "pages", "chars", "links")))
     sizes = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     frequent = sums.where(F.col("pages") >= LEAST_PAGES).join(sizes, "host").where(F.col("pages") >= LEAST_SHARE * F.col("host_pages"))
-    classes = frequent.groupBy("host", "vector", "pages").agg(F.collect_list(F.struct("token", "path", "is_text", "chars", "links", "level", "out")).alias("members"))
+    classes = frequent.groupBy("host", "vector0", "vector1", "pages").agg(F.collect_list(F.struct("token", "path", "is_text", "chars", "links", "level", "out")).alias("members"))
     # A text needs another token with its vector; a place is its own proof, having an opening and an end.
     valid = classes.where((F.size("members") > 1) | F.exists("members", lambda m: ~m["is_text"]))
     return valid.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("tokens"))
