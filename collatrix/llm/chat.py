@@ -13,7 +13,7 @@ regeneration without a message to act on is a message itself. Final messages are
 
     <|turn:ROLE|> TEXT <|end|>
 
-without the blanks. In roles and texts `\\` becomes `\\\\`, `<` becomes `\\l` and `[` becomes `\\b`, so that no control
+without the blanks. In roles and texts `\\` becomes `\\\\`, `<` becomes `\\l`, `[` `\\b` and `|` `\\p`, so that no control
 string of this template or of another (`</s>`, `[INST]`) can stand in a text, and `unescape` gets back what was there.
 The loss mask is the spans of assistant texts as they stand in the output.
 
@@ -41,14 +41,14 @@ ROWS_OUT = 2000
 
 
 def escape(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("<", "\\l").replace("[", "\\b")
+    return text.replace("\\", "\\\\").replace("<", "\\l").replace("[", "\\b").replace("|", "\\p")
 
 
 def unescape(text: str) -> str:
     """The inverse of `escape`."""
     if "\\" not in text:
         return text
-    return "\\".join(part.replace("\\l", "<").replace("\\b", "[") for part in text.split("\\\\"))
+    return "\\".join(part.replace("\\l", "<").replace("\\b", "[").replace("\\p", "|") for part in text.split("\\\\"))
 
 
 def render(role: str, text: str) -> tuple[str, int, int]:
@@ -208,7 +208,7 @@ WITH log AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), sized AS (
   SELECT *, length(role) + length(text) + 16
-            + length(regexp_replace(role || text, '[^\\<\[]', '', 'g')) AS formatted
+            + length(regexp_replace(role || text, '[^\\<\[|]', '', 'g')) AS formatted
   FROM log
 )
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
