@@ -18,6 +18,7 @@ id with several labels has the lowest quality and the highest toxicity of them;
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, in_chunks
 
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 BITS = 18
 EPOCHS = 5
 #: Share of the sample that fits the scores of words; the rest fits how they combine.
@@ -44,12 +45,28 @@ def words_of(text: str | None) -> list[bytes]:
 def pieces(word: bytes) -> tuple[list[int], list[int]]:
     """Numbers below 2^BITS for a word and its beginnings, and for its runs of four bytes."""
     core = word.strip(b".,;:!?\"'()|%*$&#")
-    edged = b"^" + word + b"$"
+    edged = b"^" + word + b"$$"
     named = [b"=" + core, *(b"<" + core[:n] for n in (6, 8, 10) if len(core) > n)]
     most = (1 << BITS) - 1
     return [crc32(k) & most for k in named], [crc32(edged[i : i + 4]) & most for i in range(len(edged) - 3)]
 
 
+class Pieces(NamedTuple):
+    """The pieces of words, one after another, and how many each word has; runs are never none."""
+
+    named: np.ndarray
+    n_named: np.ndarray
+    runs: np.ndarray
+    n_runs: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[bytes]) -> Pieces:
+        found = [pieces(w) for w in words]
+        flat = lambda k: np.fromiter((p for x in found for p in x[k]), np.int32)
+        size = lambda k: np.array([len(x[k]) for x in found], np.int32)
+        return cls(flat(0), size(0), flat(1), size(1))
+
+
 class Model:
     """Evidence on one target. A document's features are the mean score of its words under a logistic regression on
     pieces, and the greatest, the mean of the three greatest and the total of its words' own scores: the least that
@@ -61,13 +78,13 @@ class Model:
         self.odds = np.zeros(1 << BITS)
         self.blend = np.zeros(5)
 
-    def word_scores(self, named: list[list[int]], every: list[list[int]]) -> np.ndarray:
+    def word_scores(self, words: Pieces) -> np.ndarray:
         """(linear score, own score) of each word."""
-        out = np.zeros((len(named), 2))
-        for column, table, parts, fold in ((0, self.linear, every, np.add), (1, self.odds, named, np.maximum)):
-            lengths = np.array([len(x) for x in parts])
-            flat = np.fromiter((i for x in parts for i in x), np.int64, int(lengths.sum()))
-            out[:, column] = fold.reduceat(table[flat], np.cumsum(lengths) - lengths)
+        out = np.zeros((len(words.n_named), 2))
+        if len(out):
+            starts, more = np.cumsum(words.n_named) - words.n_named, np.cumsum(words.n_runs) - words.n_runs
+            out[:, 0] = np.add.reduceat(self.linear[words.named], starts) + np.add.reduceat(self.linear[words.runs], more)
+            out[:, 1] = np.maximum.reduceat(self.odds[words.named], starts)
         return out
 
 
@@ -93,48 +110,48 @@ def descend(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, size:
     return weights
 
 
-def fit(docs: list[list[bytes]], target: np.ndarray) -> Model:
-    """The model of one target from the words of the sample's documents; all zero if the sample has one kind only."""
+def fit(docs: list[Pieces], target: np.ndarray) -> Model:
+    """The model of one target from the sample's documents; all zero if either part of the sample has one kind only."""
     model = Model()
     cut = int(len(docs) * FIRST_SHARE)
-    if not cut or target[:cut].min() == target[:cut].max() or len(set(target[cut:])) < 2:
+    if not cut or len(set(target[:cut])) < 2 or len(set(target[cut:])) < 2:
         return model
-    known = {w: pieces(w) for w in set().union(*docs)}
     size = 1 << BITS
     # Odds: of documents with the piece against documents without, less a bound of 1.5 standard deviations.
     counts = np.zeros((2, size))
     rows = []
     for words, t in zip(docs[:cut], target[:cut]):
-        counts[int(t), list({p for w in words for p in known[w][0]})] += 1
-        at, n = np.unique(np.array([p for w in words for part in known[w] for p in part] or [0]), return_counts=True)
-        rows.append((np.r_[at, size], np.r_[n / np.sqrt(len(words) + 1), 1.0]))
+        counts[int(t), np.unique(words.named)] += 1
+        at, n = np.unique(np.concatenate([words.named, words.runs]), return_counts=True)
+        rows.append((np.r_[at, size].astype(np.int32), np.r_[n / np.sqrt(len(words.n_named) + 1), 1.0].astype(np.float32)))
     total = np.array([[(target[:cut] == 0).sum()], [(target[:cut] == 1).sum()]])
     with_, without = counts + 0.5, total - counts + 0.5
     delta = np.log(with_[1] / without[1]) - np.log(with_[0] / without[0])
     spread = np.sqrt((1 / with_ + 1 / without).sum(axis=0))
     model.odds = np.sign(delta) * np.maximum(np.abs(delta) - 1.5 * spread, 0)
     model.linear = descend(rows, target[:cut], size + 1, EPOCHS, 0.2, 3)[:size]
-    found = []
-    for words in docs[cut:]:
-        scores = model.word_scores([known[w][0] for w in words], [known[w][0] + known[w][1] for w in words]) if words else np.zeros((0, 2))
-        found.append((np.arange(5), document_features(scores)))
+    found = [(np.arange(5), document_features(model.word_scores(words))) for words in docs[cut:]]
     model.blend = descend(found, target[cut:], 5, 40, 0.1, 4)
     return model
 
 
+PACKED = ("named", "n_named", "runs", "n_runs")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, id_column: str, text_column: str) -> DataFrame:
-    """(place, words, poor, toxic) of at most fit_rows labelled documents: the distinct words, whole texts."""
+    """(place, packed pieces, poor, toxic) of at most fit_rows labelled documents, from their whole texts."""
     known = targets_of(labels, id_column).where(F.col("_id").isNotNull() & F.col("poor").isNotNull() & F.col("toxic").isNotNull())
     chosen = known.select(F.xxhash64("_id").alias("place"), "_id", "poor", "toxic").orderBy("place", "_id").limit(fit_rows)
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     ins = texts.join(chosen, "_id").select("place", "_text", "poor", "toxic")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = pa.array([b" ".join(words_of(t)) for t in batch.column("_text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("place"), words, batch.column("poor"), batch.column("toxic")], names=["place", "words", "poor", "toxic"])
+        for batch in in_chunks(batches, "_text", CHUNK_BYTES):
+            found = [Pieces.of(words_of(t)) for t in batch.column("_text").to_pylist()]
+            packed = [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), *packed, batch.column("poor"), batch.column("toxic")], names=["place", *PACKED, "poor", "toxic"])
 
-    return ins.mapInArrow(run, "place long, words binary, poor int, toxic int")
+    return ins.mapInArrow(run, f"place long, {', '.join(f'{c} binary' for c in PACKED)}, poor int, toxic int")
 
 
 def targets_of(labels: DataFrame, id_column: str) -> DataFrame:
@@ -143,14 +160,14 @@ def targets_of(labels: DataFrame, id_column: str) -> DataFrame:
 
 
 def fit_models(sample: DataFrame) -> list[Model]:
-    got = sample.orderBy("place", "words", "poor", "toxic").toArrow()
-    docs = [b.split() for b in got["words"].to_pylist()]
+    got = sample.orderBy("place", "n_named", "named", "poor", "toxic").toArrow()
+    docs = [Pieces(*(np.frombuffer(x.as_buffer(), np.int32) for x in row)) for row in zip(*(got[c] for c in PACKED))]
     return [fit(docs, got[t].to_numpy().astype(np.int64)) for t in TARGETS]
 
 
 def with_evidence(docs: DataFrame, models: list[Model], keep: list[str], text_column: str) -> DataFrame:
     """The `keep` columns with evidence_poor and evidence_toxic, logits of the classifier."""
-    cache: dict[bytes, np.ndarray] = {}
+    cache: dict[bytes, tuple[float, ...]] = {}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, text_column, CHUNK_BYTES):
@@ -159,9 +176,8 @@ def with_evidence(docs: DataFrame, models: list[Model], keep: list[str], text_co
                 cache.clear()
             new = [w for w in set().union(*own) if w not in cache]
             if new:
-                parts = [pieces(w) for w in new]
-                named, every = [x for x, _ in parts], [x + y for x, y in parts]
-                scores = np.concatenate([m.word_scores(named, every) for m in models], axis=1)
+                found = Pieces.of(new)
+                scores = np.concatenate([m.word_scores(found) for m in models], axis=1)
                 cache.update(zip(new, map(tuple, scores.tolist())))
             found = np.zeros((len(own), len(models)))
             for i, words in enumerate(own):
