@@ -28,8 +28,8 @@ from xxhash import xxh3_128_intdigest, xxh64_intdigest
 
 from .common import checkpointed, in_chunks, mix64, ragged
 
-CHUNK_BYTES = 4 << 20
-SPREAD_ROWS = 10_000
+CHUNK_BYTES = 1 << 20
+SPREAD_ROWS = 1_000
 #: Groups of more rows than this yield a forest of their links, smaller ones all their links.
 LARGE_GROUP = 64
 #: (first bit, bits under a Hamming code, free bits)
