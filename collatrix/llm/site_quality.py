@@ -143,7 +143,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, id_column
     known = targets_of(labels, id_column).where(F.col("_id").isNotNull() & F.col("poor").isNotNull() & F.col("toxic").isNotNull())
     chosen = known.select(F.xxhash64("_id").alias("place"), "_id", "poor", "toxic").orderBy("place", "_id").limit(fit_rows)
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    ins = texts.join(chosen, "_id").select("place", "_text", "poor", "toxic")
+    ins = texts.join(F.broadcast(chosen), "_id").select("place", "_text", "poor", "toxic")  # fit_rows short rows
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, "_text", CHUNK_BYTES):
@@ -160,9 +160,11 @@ def targets_of(labels: DataFrame, id_column: str) -> DataFrame:
 
 
 def fit_models(sample: DataFrame) -> list[Model]:
-    got = sample.orderBy("place", "n_named", "named", "poor", "toxic").toArrow()
-    docs = [Pieces(*(np.frombuffer(x.as_buffer(), np.int32) for x in row)) for row in zip(*(got[c] for c in PACKED))]
-    return [fit(docs, got[t].to_numpy().astype(np.int64)) for t in TARGETS]
+    got = sample.toArrow()
+    place, named = got["place"].to_pylist(), got["named"]
+    order = sorted(range(got.num_rows), key=lambda i: (place[i], named[i].as_py()))
+    docs = [Pieces(*(np.frombuffer(got[c][i].as_buffer(), np.int32) for c in PACKED)) for i in order]
+    return [fit(docs, got[t].to_numpy().astype(np.int64)[order]) for t in TARGETS]
 
 
 def with_evidence(docs: DataFrame, models: list[Model], keep: list[str], text_column: str) -> DataFrame:
