@@ -88,7 +88,8 @@ def near_copy_pairs(spark, sf):
 
 @query
 def edit_ops(spark, sf):
-    return alignment.edit_steps(_copies(spark, sf), alignment.tokens_of(table(spark, sf, "documents")))
+    steps = alignment.edit_steps(_copies(spark, sf), alignment.tokens_of(table(spark, sf, "documents")))
+    return steps.where("kind <> 'moved'").drop("a_tok", "b_tok", "cited")
 
 
 @query
