@@ -155,4 +155,17 @@ ORACLES: dict[str, str] = {
     "body_geometry": f"""WITH {LINES}, c AS (SELECT lang, CAST(floor(length(line) / 10 + 0.5) * 10 AS INT) AS size, count(*) AS n FROM lines WHERE line <> '' GROUP BY 1, 2)
         SELECT lang, size, n FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, size) = 1""",
     "page_heights": "SELECT conv_id, turn, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS top FROM conversations",
+    "panel_pairs": """WITH r AS (SELECT vec_id // 20 AS key, vec_id AS part, CASE WHEN label > 0 THEN CAST(label AS VARCHAR) ELSE '' END AS hash FROM embeddings),
+        k AS (SELECT *, part % 2 AS side, row_number() OVER (PARTITION BY key, part % 2, hash ORDER BY part) AS nth FROM r WHERE hash <> ''),
+        e AS (SELECT x.key, x.part AS a_part, y.part AS b_part FROM k x JOIN k y ON x.key = y.key AND x.hash = y.hash AND x.nth = y.nth AND x.side = 0 AND y.side = 1),
+        p AS (SELECT key, part, row_number() OVER (PARTITION BY key ORDER BY part) AS nth FROM r WHERE part % 2 = 0 AND part NOT IN (SELECT a_part FROM e)),
+        q AS (SELECT key, part, row_number() OVER (PARTITION BY key ORDER BY part) AS nth FROM r WHERE part % 2 = 1 AND part NOT IN (SELECT b_part FROM e))
+        SELECT key, a_part, b_part, TRUE AS same FROM e UNION ALL SELECT coalesce(p.key, q.key), p.part, q.part, FALSE FROM p FULL JOIN q ON p.key = q.key AND p.nth = q.nth""",
+    "unused_files": """WITH n AS (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 15)
+        SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM n))""",
+    "summary_lines": f"""WITH {STATUSES}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM st)
+        SELECT source, doc_id, 0 AS part, CASE WHEN r = 1 THEN '## ' || source ELSE '- ' || doc_id || ' ' || status END AS line FROM n
+        UNION ALL SELECT source, doc_id, 1, '- ' || doc_id || ' ' || status FROM n WHERE r = 1""",
+    "version_files": r"""WITH n AS (SELECT page_id, url, regexp_replace(url, '[^A-Za-z0-9_.\- ]+', '_', 'g') AS s FROM pages)
+        SELECT page_id, CASE WHEN length(s) <= 30 THEN s ELSE s[:27] || '...' END AS name, sha256(url) AS version_id FROM n""",
 }

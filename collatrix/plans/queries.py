@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import alignment, matching, shingles, windows
+from ..operators import alignment, matching, objects, raster, review, shingles, windows
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -460,5 +460,80 @@ def equal_share(spark, sf):
     return steps.groupBy("a", "b").agg(F.round(2 * n / (F.max("a1") + F.max("b1")), 9).alias("share"))
 
 
+@query
+def panel_pairs(spark, sf):
+    """Panels of pages of ten vectors: the even ones of one version, the odd ones of the other, labels as fingerprints."""
+    rows = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("key"), F.col("vec_id").alias("part"), F.when(F.col("label") > 0, F.col("label").cast("string")).otherwise("").alias("hash"))
+    return objects.pair_panels(rows.where("part % 2 = 0"), rows.where("part % 2 = 1"))
+
+
+@query
+def page_pairs(spark, sf):
+    best = page_votes(spark, sf).select("a", "b", "b_page", "a_page")
+    sizes = shingles.unique_shingles(table(spark, sf, "documents").select("doc_id", "text")).groupBy("doc_id").agg((F.floor(F.max("pos") / PAGE_TOKENS) + 1).cast("int").alias("n"))
+    pairs = best.select("a", "b").distinct()
+    pages = pairs.join(sizes.toDF("a", "a_pages"), "a").join(sizes.toDF("b", "b_pages"), "b")
+    return objects.pair_pages(best, pages)
+
+
+def _caption_objects(spark, sf, version):
+    """Turns of conversations as captions of figures: users' of the old version, assistants' of the new."""
+    role = "user" if version == "a" else "assistant"
+    box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1"))
+    return table(spark, sf, "conversations").where(F.col("role") == role).select(
+        F.col("conv_id").alias("pair_id"), F.floor(F.col("turn") / 2).cast("int").alias("id"), F.lit("table").alias("kind"), F.floor(F.col("turn") / 2).cast("string").alias("number"), F.col("text").alias("caption"),
+        F.col("turn").cast("int").alias("page"), F.lit(8).alias("pages"), box.alias("box"), F.array().cast("array<string>").alias("hashes"),
+    )
+
+
+@query
+def object_pairs(spark, sf):
+    none = spark.createDataFrame([], "pair_id long, a int, b int, score double")
+    return objects.pair_objects(_caption_objects(spark, sf, "a"), _caption_objects(spark, sf, "b"), none)
+
+
+@query
+def raster_scores(spark, sf):
+    """Vectors as 8 x 8 panels, grey by size, against the next vector's."""
+    grey = lambda c: F.transform(c, lambda x: F.greatest(F.lit(0), F.least(F.lit(255), (255 - F.abs(x) * 600).cast("int"))))
+    pixels = lambda c: F.unhex(F.array_join(F.transform(grey(c), lambda g: F.concat(*[F.lpad(F.hex(g), 2, "0")] * 3, F.lit("FF"))), ""))
+    side = F.lit(8)
+    rows = _panel_pairs(spark, sf).where("other is not null").select(
+        F.col("vec_id").cast("string").alias("key"), pixels("raster").alias("a_rgba"), side.alias("a_width"), side.alias("a_height"), pixels("other").alias("b_rgba"), side.alias("b_width"), side.alias("b_height")
+    )
+    return raster.compare_panels(rows)
+
+
+@query
+def review_references(spark, sf):
+    """References in documents read as reviews."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("review_id"), "text")
+    return review.remark_references(docs).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query
+def unused_files(spark, sf):
+    """Files (parts) that none of the fifteen newest workspaces (orders) has."""
+    newest = table(spark, sf, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(15)
+    used = table(spark, sf, "lineitem").join(newest.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    return table(spark, sf, "part").select("p_partkey").join(used.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+
+
+@query
+def summary_lines(spark, sf):
+    """A list of labelled documents by source with a line for each new source before its items."""
+    rows = _statuses(spark, sf)
+    line = W.partitionBy("source").orderBy("doc_id")
+    item = F.concat_ws(" ", F.lit("-"), F.col("doc_id").cast("string"), F.col("status"))
+    both = F.when(F.row_number().over(line) == 1, F.array(F.concat(F.lit("## "), F.col("source")), item)).otherwise(F.array(item))
+    return rows.select("source", "doc_id", both.alias("lines")).select("source", "doc_id", F.posexplode("lines").alias("part", "line"))
+
+
+@query
+def version_files(spark, sf):
+    """Names that are safe for files, clipped, with the hash that they are kept under."""
+    return table(spark, sf, "pages").select("page_id", X.clip(X.safe_name("url"), 30).alias("name"), F.sha2(F.col("url").cast("binary"), 256).alias("version_id"))
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)
