@@ -89,7 +89,7 @@ def near_copy_pairs(spark, sf):
 @query
 def edit_ops(spark, sf):
     steps = alignment.edit_steps(_copies(spark, sf), alignment.tokens_of(table(spark, sf, "documents")))
-    return steps.where("kind <> 'moved'").drop("a_tok", "b_tok", "cited")
+    return steps.where("kind <> 'moved'").drop("old", "new")
 
 
 @query
@@ -103,7 +103,7 @@ def edit_cover(spark, sf):
 @query
 def pair_changes(spark, sf):
     tokens = alignment.tokens_of(table(spark, sf, "documents"))
-    return alignment.changes(alignment.edit_steps(_copies(spark, sf), tokens), tokens)
+    return alignment.changes(alignment.edit_steps(_copies(spark, sf), tokens))
 
 
 @query
