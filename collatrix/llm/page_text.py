@@ -58,7 +58,7 @@ CLOSES_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr
 SCOPES = frozenset("ul ol dl table article section div main body".split())
 #: Parts of class, id and role names that say an element is no content.
 NO_CONTENT_NAMES = frozenset(
-    "ad ads adsense advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation navi menu menubar breadcrumb breadcrumbs sidebar rail aside complementary footer foot contentinfo masthead topbar comment comments commentlist reply replies respond discussion disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog subscribe subscription newsletter signup signin login search social share sharing related recommended recommendations widget pagination pager paging toolbar skip legal copyright disclaimer".split()
+    "ad ads adsense advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation navi menu menubar breadcrumb breadcrumbs sidebar rail aside complementary footer foot contentinfo masthead topbar comment comments commentlist reply replies respond discussion disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog subscribe subscription newsletter signup signin login search social share sharing related recommended recommendations widget pagination pager paging toolbar skip legal copyright disclaimer side announcement warning toast responses feedback tags".split()
 )
 HEADER_NAMES = frozenset("header head".split())
 CONTENT_NAMES = frozenset("article post entry story content main text".split())
@@ -69,7 +69,8 @@ def element(tag: str, attributes: str) -> tuple[str, bool, bool, int]:
     """(label in paths, whether it is no content, whether it is a header, level as content: 3 article … 0 none)."""
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     named = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    parts = {p.lower() for p in NAME_PARTS.findall(named)}
+    # Both as written in parts and as one word: "side-bar" is a sidebar.
+    parts = {p.lower() for p in NAME_PARTS.findall(named)} | {re.sub("[^a-z]", "", n.lower()) for n in named.split()}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     out = tag in NO_CONTENT or hidden or bool(parts & NO_CONTENT_NAMES)
     header = tag == "header" or bool(parts & HEADER_NAMES)

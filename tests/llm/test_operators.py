@@ -44,6 +44,15 @@ def test_pages_give_their_article(spark):
     assert got[103].n_chars == 5 * 2000 - 1
 
 
+def test_elements_that_are_no_content():
+    page = (
+        "<body><div class='side-bar'>a</div><div id=topBar>b</div><header>c</header><article><header><h2>Title</h2></header><aside>d</aside><p>text &lt; more<div class='notice warning'>e</div>"
+        "<p>kept<form>f<input></form><ul class='share_links'><li>g</ul><figure><figcaption>caption</figcaption></figure></article><section class=userComments><p>h</section><script>i</script>"
+    )
+    units = page_text.units_of(page)
+    assert page_text.main_text(units, page_text.Template(None)) == "Title\n\ntext < more\n\nkept\n\ncaption"
+
+
 def test_template_texts_and_containers_decide_without_articles(spark):
     page = "<body><div class=box><p>Same line on every page</p><p>Body %d %s</p></div><div class=x><a href=/>go</a></div></body>"
     rows = [(i, f"http://h.org/{i}", page % (i, "word " * 20)) for i in range(6)]
