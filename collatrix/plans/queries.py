@@ -353,7 +353,7 @@ def point_in_box(spark, sf):
     return met.groupBy("point_id").agg(F.min_by("box_id", F.struct(G.area(_box()).alias("area"), "box_id")).alias("box_id"))
 
 
-NAMES = [("note_v3.pdf",), ("note-v3_5.pdf",), ("LHC-ANA-v4r1.pdf",), ("draft.pdf",), ("V2.0.pdf",), ("review12.pdf",)]
+NAMES = [("note_v3.pdf",), ("note-v3_5.pdf",), ("PAPER-v4r1.pdf",), ("draft.pdf",), ("V2.0.pdf",), ("review12.pdf",)]
 
 
 @query
