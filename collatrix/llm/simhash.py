@@ -8,7 +8,7 @@ most). Whatever lies within the threshold of x is then at x's home, and the two
 
 Equal fingerprints are one node from the start, so a group of exact copies takes one row however large it is. A large
 group at an anchor yields a spanning forest of its links rather than all of them, and links between fingerprints that
-share a home are made before any is replicated. Pairs that compare as near are contracted to components by rounds of minimum labels with pointer jumping, on checkpoints.
+share a home are made before any is replicated. Pairs that compare as near are contracted to components in rounds, on checkpoints.
 
 Defined results: null and empty texts have no shingle and the fingerprint zero, and link like any other; repeated
 rows and ids fall together; a null id never names a component unless its component has no other; an empty table gives
@@ -235,23 +235,27 @@ def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Sectio
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, label) for every node in `pairs` (a, b): label is the least node that it reaches.
+    """(node, label) for every node in `pairs` (a, b): nodes have equal labels if and only if they are connected.
 
-    Each round gives a node the least label among its own and its neighbours', then jumps along labels (a label is
-    itself a node). Rounds grow with the logarithm of a component's length; no node's neighbours are gathered.
+    Rounds of contraction: a node goes to its least neighbour, if that is less than itself, and on to where that went;
+    links follow their ends, and those that fall on one node go. What is less is drawn anew by a hash in each round, so
+    that chains shrink by a share of their length. A map of nodes keeps connected what was, so when no
+    link is left each component is one node. Links shrink from round to round, and no node's neighbours are gathered.
     """
-    both = checkpointed(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("node", "other"))
-    labels = checkpointed(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
-    while True:
-        lab = labels.select(F.col("node").alias("other"), F.col("label").alias("seen"))
-        offered = both.join(lab, "other").groupBy("node").agg(F.min("seen").alias("offer"))
-        lower = labels.join(offered, "node").select("node", "label", F.least("label", "offer").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("beyond"))
-        after = checkpointed(lower.join(jump, "next").select("node", "label", F.least("next", "beyond").alias("then")))
-        changed = not after.where("then < label").limit(1).isEmpty()
-        labels = after.select("node", F.col("then").alias("label"))
-        if not changed:
-            return labels
+    links = checkpointed(pairs.select("a", "b"))
+    labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("label", F.col("node"))
+    turn = 0
+    while not links.isEmpty():
+        turn += 1
+        both = links.union(links.select("b", "a")).toDF("node", "other")
+        drawn = lambda c, turn=turn: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("rank"), F.col(c).alias("to"))
+        hooked = both.groupBy("node").agg(F.least(drawn("node"), F.min(drawn("other")))["to"].alias("up"))
+        above = hooked.toDF("up", "top")
+        moved = checkpointed(hooked.join(above, "up").select("node", F.col("top").alias("to")))
+        ends = links.join(moved.toDF("a", "x"), "a").join(moved.toDF("b", "y"), "b")
+        links = checkpointed(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        labels = checkpointed(labels.join(moved.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    return labels
 
 
 def near_groups(marked: DataFrame, words: Sequence[str] = ("fp",), sections: Sequence[Section] = HALVES, threshold: int = THRESHOLD, id_column: str = "doc_id") -> DataFrame:
