@@ -284,25 +284,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return marked.join(near_groups(marked, id_column=id_column).drop("least_id"), "fp").select(id_column, "fp", "component_id")
 
 
-#: For groups by similarity: fingerprints of 192 bits in eight sections of 24, each a Hamming code on 15 bits and 9 free.
-LONG_WORDS = ("fp0", "fp1", "fp2")
-LONG_SECTIONS: tuple[Section, ...] = tuple((24 * i, 15, 9) for i in range(8))
-#: Differing bits of 192 at a similarity of 0.8: shingle sets with Jaccard 0.8 have cosine 0.89, so an angle of 0.15 pi,
-#: and 29 bits differ in the mean; a tenth more are allowed for their spread.
-LONG_THRESHOLD = 32
-
-
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5) -> DataFrame:
-    """`docs` with the row of least id of each group of near copies (five-word shingles, similarity 0.8 or more).
+    """`docs` with the row of least id of each group of near copies: see `near_copies.one_of_each`."""
+    from .near_copies import one_of_each
 
-    Rows that share an id stay or go together; rows without id stay only where their group has no id.
-    """
-    names = list(LONG_WORDS)
-    marked = checkpointed(with_fingerprints(docs, text_column, [id_column], shingle, names))
-    groups = near_groups(marked, names, LONG_SECTIONS, LONG_THRESHOLD, id_column)
-    mine = marked.join(groups.select(*names, "component_id"), names)
-    gone = mine.where(~F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_column).eqNullSafe(F.col("_gone")), "left_anti")
+    return one_of_each(docs, id_column, text_column, shingle)
 
 
 def hex16(fp: str) -> Column:

@@ -219,6 +219,27 @@ def test_one_of_each_group_stays(spark):
     assert got == [0, 1, 2, 3, 4, 5]
 
 
+def test_near_copies_equal_brute_force_at_the_limit(spark):
+    rng = random.Random(12)
+    texts = [None, "", "one", "one", "two words"]
+    for i in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 300))]
+        copy = list(base)
+        for _ in range(max(1, round(len(base) * (0.01 + 0.03 * i / 60)))):
+            copy[rng.randrange(len(base))] = "changed"
+        texts += [" ".join(base), " ".join(copy), " ".join(base[:-1])]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    label = list(range(len(texts)))
+    limits = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 5 * len(x & y) >= 4 * len(x | y):
+                limits += 4 * len(x | y) >= 4.4 * len(x & y) > 0
+                label = [label[j] if v == label[i] else v for v in label]
+    kept = sorted(r.doc_id for r in simhash.one_of_each(docs_of(spark, texts)).collect())
+    assert limits > 20 and kept == sorted({label.index(v) for v in label})
+
+
 # ------------------------------------------------------------------------------------------------ 5
 def test_mix_meets_targets(spark):
     rows = [(i, "w " * (10 + i % 7), ["a", "b", "c", None][i % 4] if i % 9 else "tiny") for i in range(400)]
