@@ -60,20 +60,28 @@ SCOPES = frozenset("ul ol dl table article section div main body".split())
 NO_CONTENT_NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation navi menu menubar breadcrumb breadcrumbs sidebar rail aside complementary footer foot contentinfo masthead topbar comment comments commentlist reply replies respond discussion disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog subscribe subscription newsletter signup signin login search social share sharing related recommended recommendations widget pagination pager paging toolbar skip legal copyright disclaimer side announcement warning toast responses feedback tags".split()
 )
+#: Elements that their names don't put out, but for articles that are reader comments.
+WHOLE_PAGE, COMMENTS = frozenset("html body main article".split()), frozenset("comment comments commentlist reply replies respond responses discussion disqus feedback".split())
+#: Smaller elements that hold this share of a page's text, or an article or main, aren't put out by their names either.
+FREE_SHARE = 0.5
 HEADER_NAMES = frozenset("header head".split())
 CONTENT_NAMES = frozenset("article post entry story content main text".split())
 
 
 @lru_cache(maxsize=20_000)
-def element(tag: str, attributes: str) -> tuple[str, bool, bool, int]:
-    """(label in paths, whether it is no content, whether it is a header, level as content: 3 article … 0 none)."""
+def element(tag: str, attributes: str) -> tuple[str, bool, bool, int, bool, bool]:
+    """(label in paths, whether it is no content, whether it is a header, level as content: 3 article … 0 none, whether
+    only names say that it is no content, whether it is of reader comments)."""
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     named = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     # Both as written in parts and as one word: "side-bar" is a sidebar.
+    whole = {n.lower() for n in named.split()}
     parts = {p.lower() for p in NAME_PARTS.findall(named)} | {re.sub("[^a-z]", "", n.lower()) for n in named.split()}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    out = tag in NO_CONTENT or hidden or bool(parts & NO_CONTENT_NAMES)
-    header = tag == "header" or bool(parts & HEADER_NAMES)
+    comments = bool((whole if tag in WHOLE_PAGE else parts) & COMMENTS) and tag not in ("html", "body", "main")
+    named_out = comments if tag in WHOLE_PAGE else bool(parts & NO_CONTENT_NAMES)
+    hard = tag in NO_CONTENT or hidden
+    header = tag == "header" or (bool(parts & HEADER_NAMES) and tag not in WHOLE_PAGE)
     level = 0
     if tag == "article" or found.get("itemprop", "").lower() == "articlebody" or found.get("role") == "article":
         level = 3
@@ -82,7 +90,7 @@ def element(tag: str, attributes: str) -> tuple[str, bool, bool, int]:
     elif parts & CONTENT_NAMES and tag not in ("body", "html"):
         level = 1
     label = tag + "".join(f".{c}" for c in sorted(found.get("class", "").split())) + (f"#{found['id']}" if "id" in found else "")
-    return label, out, header, level
+    return label, hard or named_out, header, level, not hard and tag != "header", comments
 
 
 class Unit:
@@ -98,8 +106,10 @@ def units_of(html: str) -> list[Unit]:
     """The blocks of a page that have text, in order."""
     units: list[Unit] = []
     buffer: list[str] = []
-    #: tag, label (None: not a block), out, level, silent
-    stack: list[tuple[str, str | None, bool, int, bool]] = []
+    #: tag, label (None: not a block), out, level, silent, number if only names put it out (else 0)
+    stack: list[tuple[str, str | None, bool, int, bool, int]] = []
+    #: By number: whether it holds an article or main, whether it is of reader comments. By unit: the numbers around it.
+    holds, of_comments, around = [True], [False], []
     silent = anchors = links = 0
     out, level, path = False, 0, ""
 
@@ -109,12 +119,13 @@ def units_of(html: str) -> list[Unit]:
             text = " ".join(unescape("".join(buffer)).split())
             if text:
                 units.append(Unit(path, text, links, out, level))
+                around.append([e[5] for e in stack if e[5]])
             buffer.clear()
         links = 0
 
     def settle() -> None:
         nonlocal out, level, path
-        out = any(e[2] for e in stack)
+        out = any(e[2] and not e[5] for e in stack)
         level = max((e[3] for e in stack), default=0)
         path = ">".join(e[1] for e in stack if e[1] is not None)
 
@@ -176,17 +187,32 @@ def units_of(html: str) -> list[Unit]:
             end = RAW[tag].search(html, at)
             at = end.end() if end else n
             continue
-        label, no_content, header, own = element(tag, attributes)
+        label, no_content, header, own, by_name, comments = element(tag, attributes)
         no_content = no_content or (header and level < 3 and own < 3)
+        number = 0
+        if block and no_content and by_name:
+            number = len(holds)
+            holds.append(False)
+            of_comments.append(comments)
+        elif own >= 2 and not no_content:
+            for e in stack:
+                holds[e[5]] = True
         quiet = tag in SILENT or (not block and no_content)
         if attributes.rstrip().endswith("/") and not block:
             continue
-        stack.append((tag, label if block else None, no_content, own, quiet))
+        stack.append((tag, label if block else None, no_content, own, quiet, number))
         silent += quiet
         anchors += tag == "a"
         if block:
             settle()
     flush()
+    sizes: Counter = Counter()
+    for u, numbers in zip(units, around):
+        if not u.out:
+            sizes.update({k: len(u.text) for k in [0, *numbers]})
+    free = {k for k in range(len(holds)) if not of_comments[k] and (holds[k] or sizes[k] >= FREE_SHARE * sizes[0])}
+    for u, numbers in zip(units, around):
+        u.out = u.out or any(k not in free for k in numbers)
     return units
 
 

@@ -60,6 +60,15 @@ def test_template_texts_and_containers_decide_without_articles(spark):
     assert {r.page_id: r.text for r in got} == {i: f"Body {i} {('word ' * 20).strip()}" for i in range(6)}
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='no-sidebar'><p>%s</p></body>", "<body><main class='page with-sidebar'><p>%s</p></main></body>", "<body><article class='post has-comments'><p>%s</p></article></body>",
+    "<body><div class='content social'><p>%s</p></div></body>", "<body class=has-header><div class='with-sidebar'><article><p>%s</p></article></div></body>",
+])
+def test_names_do_not_put_the_whole_article_out(page):
+    rest = "<div class=sidebar><p>side</p></div><section id=comments><article class=comment><p>reader</p></article></section></body>"
+    assert page_text.main_text(page_text.units_of(page.replace("</body>", rest) % "The article itself"), page_text.Template(None)) == "The article itself"
+
+
 # ------------------------------------------------------------------------------------------------ 2, 8
 def test_tokens_equal_the_library(spark):
     from tokenizers import Tokenizer
