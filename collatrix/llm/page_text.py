@@ -9,7 +9,7 @@ into the host's template; a text in one is part of the template, and what else h
 
 Slots have the role of the elements around them: menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments are no content. Of the others the host's main slot is taken: articles, else main areas, else elements named
-as content, else the container with most text outside links. Each page's text is what fills that slot, in order.
+as content, else every slot whose text isn't mostly links. Each page's text is what fills these slots, in order.
 
 Defined results: null and empty html and pages without content have empty text; pages of hosts with too few pages for
 a template, and pages that don't have the host's main slot, are read by the roles of their own elements; a null url
@@ -282,7 +282,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 class Template:
-    """A host's template: the texts that belong to it, and its main slot."""
+    """A host's template: the texts that belong to it, the level of its main slot and its places of links."""
 
     def __init__(self, tokens: list[dict] | None) -> None:
         tokens = tokens or []
@@ -290,10 +290,8 @@ class Template:
         slots = [t for t in tokens if not t["is_text"] and not t["out"]]
         whole = sum(t["chars"] for t in slots)
         self.level = max((t["level"] for t in slots if 5 * sum(s["chars"] for s in slots if s["level"] >= t["level"]) >= whole), default=None)
-        inside: Counter = Counter()
-        for t in slots:
-            inside[t["path"].rpartition(">")[0]] += t["chars"] - t["links"]
-        self.container = max(sorted(inside), key=inside.__getitem__) if inside else None
+        #: Places whose text is mostly links on the host's pages, or not.
+        self.linked = {t["path"]: 2 * t["links"] > t["chars"] for t in slots}
 
 
 def main_text(units: list[Unit], template: Template) -> str:
@@ -305,20 +303,10 @@ def main_text(units: list[Unit], template: Template) -> str:
         picked = [u for u in content if u.level >= wanted]
     else:
         fresh = [u for u in content if key_of("text", u.path, u.text) not in template.texts]
-        container = template.container
-        if container is None or not any(_under(u.path, container) for u in fresh):
-            inside: Counter = Counter()
-            for u in fresh:
-                inside[u.path.rpartition(">")[0]] += max(len(u.text) - u.links, 0)
-            container = max(sorted(inside), key=inside.__getitem__) if inside else ""
-        picked = [u for u in fresh if _under(u.path, container)]
+        picked = [u for u in fresh if not template.linked.get(u.path, 2 * u.links > len(u.text))]
     return "\n\n".join(u.text for u in picked)
 
 
-def _under(path: str, container: str) -> bool:
-    return not container or path == container or path.startswith(container + ">")
-
-
 def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html", id_column: str = "page_id", keep: list[str] | None = None) -> DataFrame:
     """The `keep` columns of every page with text and n_chars."""
     added = {"text": T.StringType(), "n_chars": T.LongType()}

@@ -69,6 +69,13 @@ def test_names_do_not_put_the_whole_article_out(page):
     assert page_text.main_text(page_text.units_of(page.replace("</body>", rest) % "The article itself"), page_text.Template(None)) == "The article itself"
 
 
+def test_all_sections_stay_without_articles(spark):
+    page = "<body><div class=page><h1>Title %d</h1><div id=s1><p>First %d</p></div><div id=s2><p>Second, longer %d</p><ul><li><a href='/x'>go %d</a></ul></div></div></body>"
+    rows = [(i, f"http://h.org/{i}", page % ((i,) * 4)) for i in range(6)] + [(9, "http://one.org", page % ((9,) * 4))]
+    got = page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {r[0]: f"Title {r[0]}\n\nFirst {r[0]}\n\nSecond, longer {r[0]}" for r in rows}
+
+
 # ------------------------------------------------------------------------------------------------ 2, 8
 def test_tokens_equal_the_library(spark):
     from tokenizers import Tokenizer
