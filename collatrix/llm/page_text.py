@@ -4,8 +4,8 @@ The pages of a host are read as tokens: each place of the page tree (a path of b
 and each text that stands outside an article. A token's occurrence vector says how often it occurs on each page of
 the host. It is never built: two sums of hashes of (page, count) and the number of pages stand for it, and add up
 task by task, so a host with a third of all pages is a few partial sums. Tokens with equal vectors form a class; a
-class is valid if it has two tokens or more and occurs on enough of the host's pages. Valid classes nest by their paths
-into the host's template; a text in one is part of the template, and what else has text is a slot.
+class is valid if it occurs on enough of the host's pages and has two tokens or more, or a place. Classes are not nested
+and no order is checked: a text in a valid class is part of the template, and what else has text is a slot.
 
 Slots have the role of the elements around them: menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments are no content. Of the others the host's main slot is taken: articles, else main areas, else elements named
@@ -246,7 +246,7 @@ def scan_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[token] += 1
                 sizes[token][0] += len(u.text)
                 sizes[token][1] += min(u.links, len(u.text))
-                if u.level < 2:
+                if u.level < 3:
                     counts[(host, key_of("text", u.path, u.text), u.path, True, u.level, u.out)] += 1
             for token, count in counts.items():
                 held = sums[token]
@@ -299,10 +299,12 @@ def main_text(units: list[Unit], template: Template) -> str:
     content = [u for u in units if not u.out]
     best = max((u.level for u in content), default=0)
     wanted = best if template.level is None else min(template.level, best)
+    fresh = [u for u in content if key_of("text", u.path, u.text) not in template.texts]
     if wanted > 0:
-        picked = [u for u in content if u.level >= wanted]
+        # Articles stay whole; in main areas and named elements what the template has is none of the text.
+        whole = [u for u in content if u.level >= wanted]
+        picked = whole if wanted == 3 else [u for u in fresh if u.level >= wanted] or whole
     else:
-        fresh = [u for u in content if key_of("text", u.path, u.text) not in template.texts]
         picked = [u for u in fresh if not template.linked.get(u.path, 2 * u.links > len(u.text))]
     return "\n\n".join(u.text for u in picked)
 

@@ -76,6 +76,13 @@ def test_all_sections_stay_without_articles(spark):
     assert {r.page_id: r.text for r in got} == {r[0]: f"Title {r[0]}\n\nFirst {r[0]}\n\nSecond, longer {r[0]}" for r in rows}
 
 
+def test_template_texts_go_inside_content_elements(spark):
+    page = "<body><%s><div class=x><p>Home</p></div><div class=y><p>Body %d</p></div><div class=z><p>Imprint</p></div></%s></body>"
+    rows = [(10 * k + i, f"http://h{k}.org/{i}", page % (tag, i, tag.split()[0])) for k, tag in enumerate(("div id=content", "main")) for i in range(6)]
+    got = page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {r[0]: f"Body {r[0] % 10}" for r in rows}
+
+
 # ------------------------------------------------------------------------------------------------ 2, 8
 def test_tokens_equal_the_library(spark):
     from tokenizers import Tokenizer
