@@ -1,14 +1,16 @@
 """Quality and toxicity by hierarchical empirical Bayes.
 
-A classifier over hashed pieces of words gives each document its own evidence that it is poor, and that it is toxic. It
-is fitted on a sample of at most `fit_rows` labelled rows, chosen by a hash of their ids. Documents are then counted by path and by host, each with
-its label or else with the classifier's probability. A path's rate is shrunk toward its host's and a host's toward the
-global rate, in each case by a prior strength that the method of moments takes from how much the groups differ beyond
-chance; a site with few documents thus says little. A document's posterior adds the shift of its path's rate, itself
-left out, to its own evidence on the logit scale.
+A classifier over hashed pieces of words gives each document its own evidence that it is poor, and that it is toxic. One
+task fits it on a sample of labelled rows: the first `fit_rows` in the order of a hash of their ids, of these the texts
+of at most a hundredth of `fit_bytes`, and of these the first `fit_bytes` in all. The driver gets the weights, which have
+a fixed size. Documents, whole texts of any length, are then scored and counted by path and by host, each with its label
+or else with the classifier's probability. A path's rate is shrunk toward its host's and a host's toward the global rate,
+in each case by a prior strength that the method of moments takes from how much the groups differ beyond chance; a site
+with few documents thus says little. A document's posterior adds the shift of its path's rate, itself left out, to its
+own evidence on the logit scale.
 
 All counts are grouped aggregates over all documents, summed in each task first, so a host with a third of all rows
-is a few partial sums. The fitted weights have a fixed size.
+is a few partial sums.
 
 Defined results: null and empty texts have no evidence of their own and take the rate of their site; null hosts and
 paths are sites of their own; without labels, or without both kinds, every evidence is zero; an
@@ -23,19 +25,20 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, in_chunks
 
-FIT_ROWS = 8_000
+FIT_ROWS, FIT_BYTES = 8_000, 32 << 20
 BITS = 18
 EPOCHS = 5
 #: Share of the sample that fits the scores of words; the rest fits how they combine.
 FIRST_SHARE = 0.7
 CHUNK_BYTES = 4 << 20
 MOST_WORDS = 400_000
-TARGETS = ("poor", "toxic")
+TARGETS, WEIGHTS = ("poor", "toxic"), ("linear", "odds", "blend")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -73,10 +76,13 @@ class Model:
     the odds of the word, or of a beginning of it, can be by the counts of the sample. A second regression on other
     rows combines them."""
 
-    def __init__(self) -> None:
-        self.linear = np.zeros(1 << BITS)
-        self.odds = np.zeros(1 << BITS)
-        self.blend = np.zeros(5)
+    def __init__(self, linear: np.ndarray | None = None, odds: np.ndarray | None = None, blend: np.ndarray | None = None) -> None:
+        self.linear = np.zeros(1 << BITS) if linear is None else linear
+        self.odds = np.zeros(1 << BITS) if odds is None else odds
+        self.blend = np.zeros(5) if blend is None else blend
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.linear, self.odds, self.blend
 
     def word_scores(self, words: Pieces) -> np.ndarray:
         """(linear score, own score) of each word."""
@@ -135,23 +141,13 @@ def fit(docs: list[Pieces], target: np.ndarray) -> Model:
     return model
 
 
-PACKED = ("named", "n_named", "runs", "n_runs")
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, id_column: str, text_column: str) -> DataFrame:
-    """(place, packed pieces, poor, toxic) of at most fit_rows labelled documents, from their whole texts."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_bytes: int, id_column: str, text_column: str) -> DataFrame:
+    """(place, text, poor, toxic) of the labelled rows that fit the model."""
     known = targets_of(labels, id_column).where(F.col("_id").isNotNull() & F.col("poor").isNotNull() & F.col("toxic").isNotNull())
     chosen = known.select(F.xxhash64("_id").alias("place"), "_id", "poor", "toxic").orderBy("place", "_id").limit(fit_rows)
-    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    ins = texts.join(F.broadcast(chosen), "_id").select("place", "_text", "poor", "toxic")  # fit_rows short rows
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_chunks(batches, "_text", CHUNK_BYTES):
-            found = [Pieces.of(words_of(t)) for t in batch.column("_text").to_pylist()]
-            packed = [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column("place"), *packed, batch.column("poor"), batch.column("toxic")], names=["place", *PACKED, "poor", "toxic"])
-
-    return ins.mapInArrow(run, f"place long, {', '.join(f'{c} binary' for c in PACKED)}, poor int, toxic int")
+    texts = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
+    found = texts.join(F.broadcast(chosen), "_id")  # fit_rows short rows
+    return found.where(F.octet_length("_text") <= fit_bytes // 100).select("place", F.xxhash64("_text").alias("key"), "_text", "poor", "toxic")
 
 
 def targets_of(labels: DataFrame, id_column: str) -> DataFrame:
@@ -159,12 +155,24 @@ def targets_of(labels: DataFrame, id_column: str) -> DataFrame:
     return labels.groupBy(F.col(id_column).alias("_id")).agg(poor.alias("poor"), toxic.alias("toxic"))
 
 
-def fit_models(sample: DataFrame) -> list[Model]:
-    got = sample.toArrow()
-    place, named = got["place"].to_pylist(), got["named"]
-    order = sorted(range(got.num_rows), key=lambda i: (place[i], named[i].as_py()))
-    docs = [Pieces(*(np.frombuffer(got[c][i].as_buffer(), np.int32) for c in PACKED)) for i in order]
-    return [fit(docs, got[t].to_numpy().astype(np.int64)[order]) for t in TARGETS]
+def fit_models(sample: DataFrame, fit_bytes: int) -> list[Model]:
+    """The models of the targets, fitted in one task on the first `fit_bytes` of the sample."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, targets, left = [], [], fit_bytes
+        for batch in in_chunks(batches, "_text", CHUNK_BYTES):
+            so_far = np.cumsum(pc.binary_length(batch.column("_text")).to_numpy(zero_copy_only=False))
+            own = batch.slice(0, int((so_far <= left).sum()))
+            left = left - int(so_far[-1]) if own.num_rows == batch.num_rows else 0
+            docs += [Pieces.of(words_of(t)) for t in own.column("_text").to_pylist()]
+            targets.append(np.stack([own.column(t).to_numpy() for t in TARGETS], axis=1))
+        for k in range(len(TARGETS)):
+            model = fit(docs, np.concatenate(targets)[:, k].astype(np.int64)) if docs else Model()
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([w.astype("<f8").tobytes()]) for w in model.weights())], names=["target", *WEIGHTS])
+
+    shape = f"target int, {', '.join(f'{w} binary' for w in WEIGHTS)}"
+    rows = sample.repartition(1).sortWithinPartitions("place", "key").mapInArrow(run, shape).collect()  # a row a target
+    return [Model(*(np.frombuffer(r[w], "<f8") for w in WEIGHTS)) for r in sorted(rows, key=lambda r: r["target"])] or [Model() for _ in TARGETS]
 
 
 def with_evidence(docs: DataFrame, models: list[Model], keep: list[str], text_column: str) -> DataFrame:
@@ -215,9 +223,9 @@ def strength(rows: DataFrame, n: str, own: str, center: str) -> Column:
     return F.when(between > 0, F.least(F.greatest(chance / between - 1, F.lit(2.0)), F.lit(1e4))).otherwise(1e4)
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_column: str = "doc_id", text_column: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_column: str = "doc_id", text_column: str = "text", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> DataFrame:
     """(id, p_quality, p_toxic, kept) for every row; kept rows are of quality and not toxic, at even odds."""
-    models = fit_models(labelled_sample(docs, labels, fit_rows, id_column, text_column))
+    models = fit_models(labelled_sample(docs, labels, fit_rows, fit_bytes, id_column, text_column), fit_bytes)
     sited = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), host.alias("_host"), path.alias("_path"))
     scored = with_evidence(sited, models, ["_id", "_host", "_path"], "_text")
     rows = scored.join(targets_of(labels, id_column), "_id", "left")
