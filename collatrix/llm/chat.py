@@ -17,9 +17,9 @@ without the blanks. In roles and texts `\\` becomes `\\\\`, `<` becomes `\\l`, `
 string of this template or of another (`</s>`, `[INST]`) can stand in a text, and `unescape` gets back what was there.
 The loss mask is the spans of assistant texts as they stand in the output.
 
-A log of plain messages is folded as a stream, a message at a time; a conversation of any length takes no more memory
-than its longest text. A conversation with deltas, edits or regenerations holds its own messages until it ends, as an
-edit may reach back to any of them.
+Every log goes through one fold. Of a log without kinds each message is final when the next one comes, so a conversation
+of any length takes no more memory than its longest text. In a log with kinds a conversation holds its own messages until
+it ends, as an edit may reach back to any of them.
 
 Defined results: null roles and texts are empty; a null conversation is one of its own; equal places in the sequence
 are ordered by role and text, so reruns agree and repeated rows are messages of their own; a null place comes first.
@@ -65,20 +65,34 @@ def read_back(chunk: str) -> tuple[str, str]:
     return unescape(role), unescape(body)
 
 
-def fold(events: Iterable[tuple[str, int | None, str, str]]) -> Iterator[tuple[str, str]]:
-    """The final (role, text) messages of one conversation from (kind, target, role, text) in order."""
-    held: list[list[str]] = []
-    for kind, target, role, text in events:
-        at = len(held) - 1 if target is None else target
-        if kind == "message" or not 0 <= at < len(held):
-            held.append([role, text])
-        elif kind == "delta":
-            held[at].append(text)
+class Fold:
+    """The state of one conversation's messages between its events.
+
+    `feed` takes an event and returns the messages that no later event can reach, `close` the rest. In a log that can
+    edit, any message can still change; in one of messages alone, each is final when the next one comes.
+    """
+
+    def __init__(self, edits: bool) -> None:
+        self.edits, self.held = edits, []
+
+    def feed(self, kind: str, target: int | None, role: str, text: str) -> list[tuple[str, str]]:
+        at = len(self.held) - 1 if target is None else target
+        if kind == "message" or not 0 <= at < len(self.held):
+            done = [] if self.edits else self.close()
+            self.held.append([role, text])
+            return done
+        if kind == "delta":
+            self.held[at].append(text)
         else:
-            held[at] = [held[at][0], text]
+            self.held[at] = [self.held[at][0], text]
             if kind == "regenerate":
-                del held[at + 1 :]
-    return ((m[0], "".join(m[1:])) for m in held)
+                del self.held[at + 1 :]
+        return []
+
+    def close(self) -> list[tuple[str, str]]:
+        done = [(m[0], "".join(m[1:])) for m in self.held]
+        self.held = []
+        return done
 
 
 CHUNKS = T.StructType(
@@ -116,7 +130,6 @@ def format_chats(
         target_column.alias("_target"),
     )
     dealt = rows.repartition("_conversation").sortWithinPartitions("_conversation", "_sequence", "_role", "_text")
-    plain = kind is None
     schema = T.StructType([T.StructField(conversation, log.schema[conversation].dataType), *CHUNKS.fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,24 +146,22 @@ def format_chats(
             out.clear()
             return made
 
-        current, part, held, begun = None, 0, [], False
-        types = None
+        current, part, begun = None, 0, False
+        state, types = Fold(kind is not None), None
         for batch in batches:
             types = types or [batch.schema.field("_conversation").type, pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            for id_, kind_, target_, role_, text_ in zip(*(batch.column(c).to_pylist() for c in ("_conversation", "_kind", "_target", "_role", "_text"))):
+            for id_, *event in zip(*(batch.column(c).to_pylist() for c in ("_conversation", "_kind", "_target", "_role", "_text"))):
                 if not begun or id_ != current:
-                    for i, m in enumerate(fold(held)):
-                        put(current, i, m)
-                    current, part, held, begun = id_, 0, [], True
-                if plain:
-                    put(id_, part, (role_, text_))
+                    for part, m in enumerate(state.close(), part):
+                        put(current, part, m)
+                    current, part, begun = id_, 0, True
+                for m in state.feed(*event):
+                    put(id_, part, m)
                     part += 1
-                else:
-                    held.append((kind_, target_, role_, text_))
                 if len(out) >= ROWS_OUT:
                     yield flush(types)
-        for i, m in enumerate(fold(held)):
-            put(current, i, m)
+        for part, m in enumerate(state.close(), part):
+            put(current, part, m)
         if out:
             yield flush(types)
 
