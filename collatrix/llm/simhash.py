@@ -40,10 +40,9 @@ HALVES: tuple[Section, ...] = ((0, 31, 1), (32, 31, 1))
 LANE = 255
 
 
-def fingerprints(texts: list[str | None], shingle: int = 3, words: int = 1, seed: int = 42) -> np.ndarray:
-    """The fingerprints of whole texts, `words` columns of 64 bits: the first from XXH64, two more from XXH3's 128."""
-    hashes: list[int] = []
-    longer: list[int] = []
+def shingle_pieces(texts: list[str | None], shingle: int) -> tuple[list[bytes], np.ndarray]:
+    """The shingles of whole texts, repeats included, one text after another, and how many each text has."""
+    pieces: list[bytes] = []
     counts = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         own = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -52,19 +51,19 @@ def fingerprints(texts: list[str | None], shingle: int = 3, words: int = 1, seed
         line = b" ".join(own)
         ends = np.cumsum([len(w) + 1 for w in own]) - 1
         starts = [0, *(ends[:-1] + 1).tolist()]
-        pieces = [line[a:b] for a, b in zip(starts, ends[min(shingle, len(own)) - 1 :].tolist())]
-        counts[i] = len(pieces)
-        hashes += [xxh64_intdigest(x, seed) for x in pieces]
-        if words > 1:
-            longer += [xxh3_128_intdigest(x, seed) for x in pieces]
-    out = np.zeros((len(texts), words), np.uint64)
+        found = [line[a:b] for a, b in zip(starts, ends[min(shingle, len(own)) - 1 :].tolist())]
+        counts[i] = len(found)
+        pieces += found
+    return pieces, counts
+
+
+def majorities(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text from the hashes (rows of words of 64 bits) of its shingles."""
+    words = h.shape[1]
+    out = np.zeros((len(counts), words), np.uint64)
     full = np.flatnonzero(counts)
     if not len(full):
         return out
-    h = np.empty((len(hashes), words), np.uint64)
-    h[:, 0] = hashes
-    if words > 1:
-        h[:, 1:] = np.frombuffer(b"".join(x.to_bytes(16, "little") for x in longer), "<u8").reshape(-1, 2)
     starts = np.cumsum(counts[full]) - counts[full]
     cuts = np.unique(np.concatenate([starts, *(s + np.arange(LANE, n, LANE) for s, n in zip(starts, counts[full]) if n > LANE)]))
     # Eight counts of a byte each are added as one integer; no lane runs over within LANE rows.
@@ -76,6 +75,16 @@ def fingerprints(texts: list[str | None], shingle: int = 3, words: int = 1, seed
     return out
 
 
+def fingerprints(texts: list[str | None], shingle: int = 3, words: int = 1, seed: int = 42) -> np.ndarray:
+    """The fingerprints of whole texts, `words` columns of 64 bits: the first from XXH64, two more from XXH3's 128."""
+    pieces, counts = shingle_pieces(texts, shingle)
+    h = np.empty((len(pieces), words), np.uint64)
+    h[:, 0] = [xxh64_intdigest(x, seed) for x in pieces]
+    if words > 1:
+        h[:, 1:] = np.frombuffer(b"".join(xxh3_128_intdigest(x, seed).to_bytes(16, "little") for x in pieces), "<u8").reshape(-1, 2)
+    return majorities(h, counts)
+
+
 def with_fingerprints(docs: DataFrame, text_column: str = "text", keep: list[str] | None = None, shingle: int = 3, names: Sequence[str] = ("fp",)) -> DataFrame:
     """The `keep` columns and the fingerprint as signed bigints, one for each of `names` (one or three)."""
     names = list(names)
@@ -187,12 +196,14 @@ def node_numbers(fps: np.ndarray) -> np.ndarray:
     return node.view(np.int64)
 
 
-def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Section], threshold: int, home_only: bool = False) -> DataFrame:
-    """Pairs (a, b) of labels that connect what fingerprints within `threshold` at a common anchor connect.
+def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Section], threshold: int, home_only: bool = False, ends: str = "label") -> DataFrame:
+    """Pairs (a, b) of `ends` that connect what fingerprints within `threshold` at a common anchor connect.
 
-    `nodes` has the words and a label for each fingerprint; links inside one label are known and left out.
+    `nodes` has the words and a label for each fingerprint; links inside one label are known and left out. What a pair
+    names is the column `ends`: the labels, or a number of each fingerprint.
     """
     words = list(words)
+    numbers = list(dict.fromkeys(["label", ends]))
 
     def stacked(data: pa.RecordBatch | pa.Table) -> np.ndarray:
         return np.stack([data.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
@@ -203,8 +214,8 @@ def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Sectio
                 own = batch.slice(start, SPREAD_ROWS)
                 fps = stacked(own)
                 index, key, home = anchors(fps, sections, home_only)
-                columns = [pa.array(key << 1 | home), pa.array(own.column("label").to_numpy()[index]), *(pa.array(fps[index, i].view(np.int64)) for i in range(len(words)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["place", "label", *words])
+                columns = [pa.array(key << 1 | home), *(pa.array(own.column(c).to_numpy()[index]) for c in numbers), *(pa.array(fps[index, i].view(np.int64)) for i in range(len(words)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["place", *numbers, *words])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -213,7 +224,8 @@ def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Sectio
             if table.num_rows > 1:
                 place, label = table.column("place").to_numpy(), table.column("label").to_numpy()
                 a, b = compare_anchors(place >> 1, stacked(table), (place & 1).astype(bool), label, threshold)
-                pairs = np.unique(np.stack([np.minimum(label[a], label[b]), np.maximum(label[a], label[b])], axis=1), axis=0)
+                end = table.column(ends).to_numpy()
+                pairs = np.unique(np.stack([np.minimum(end[a], end[b]), np.maximum(end[a], end[b])], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -228,8 +240,8 @@ def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Sectio
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    shape = ", ".join(f"{w} long" for w in words)
-    rows = nodes.select("label", *words).mapInArrow(spread, f"place long, label long, {shape}")
+    shape = ", ".join(f"{w} long" for w in [*numbers, *words])
+    rows = nodes.select(*numbers, *words).mapInArrow(spread, f"place long, {shape}")
     dealt = rows.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
