@@ -1,25 +1,32 @@
 """Main text of pages by equivalence-class template deduction.
 
 The pages of a host are read as tokens: each place of the page tree (a path of block elements with their class and id)
-and each text that stands outside an article. A token's occurrence vector says how often it occurs on each page of
-the host. It is never built: two sums of hashes of (page, count) and the number of pages stand for it, and add up
-task by task, so a host with a third of all pages is a few partial sums. Tokens with equal vectors form a class; a
-class is valid if it occurs on enough of the host's pages and has two tokens or more, or a place. Classes are not nested
-and no order is checked: a text in a valid class is part of the template, and what else has text is a slot.
+and each text at its place. A token's occurrence vector says how often it occurs on each page of the host. It is never
+built: two sums of hashes of (page, count) and the number of pages stand for it, and add up task by task, so a host with
+a third of all pages is a few partial sums. Tokens with equal vectors form a class; a class is valid if it occurs on
+enough of the host's pages and has two tokens or more, or a place.
+
+Valid classes nest into the host's template, those of most pages first: tokens of a class that fall into one gap between
+the tokens around them belong together, and a text that falls into a gap alone is no template. On a page a class counts
+only if its texts stand there in the class's order. What is between the tokens are the slots.
 
 Slots have the role of the elements around them: menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments are no content. Of the others the host's main slot is taken: articles, else main areas, else elements named
-as content, else every slot whose text isn't mostly links. Each page's text is what fills these slots, in order.
+as content, else every slot whose text isn't mostly links. Each page's text is what fills these slots, in order, less
+the template's texts. Of an article those go that have their place to themselves (FILLED); a line that recurs among the
+article's own, at one place with them, is the article's. Where they are most of an article's text (ARTICLE_SHARE), the
+host's pages are copies of one article rather than different ones in one frame, and the article stays whole.
 
 Defined results: null and empty html and pages without content have empty text; pages of hosts with too few pages for
 a template, and pages that don't have the host's main slot, are read by the roles of their own elements; a null url
 is a host of its own; repeated rows are pages of their own; unclosed, misnested and stray markup is read leniently; no
-text is cut. Result columns replace columns of the input of their names.
+text is cut. Result columns replace columns of the input of their names; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -35,12 +42,16 @@ from .common import checkpointed, in_chunks
 
 #: A valid class occurs on this many pages of its host, and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 4, 0.5
+#: Template texts go from articles in which other text has this share of the characters, and from places of which
+#: template texts have that share.
+ARTICLE_SHARE, FILLED = 1 / 3, 0.9
 #: Templates up to this size in all are broadcast; beyond it pages are joined to them by host.
 BROADCAST_BYTES = 16 << 20
 CHUNK_BYTES = 4 << 20
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+HEADING = re.compile(r"(^|>)(h[1-6]|hgroup)\b[^>]*(>[^>]*)?$")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 BLOCKS = frozenset(
@@ -222,16 +233,17 @@ def key_of(*parts: str | bytes) -> int:
 
 # ------------------------------------------------------------------------------------------ occurrence vectors
 
-TOKEN_SCHEMA = "host string, token long, path string, is_text boolean, vector0 long, vector1 long, pages long, chars long, links long, level int, out boolean"
+TOKEN_SCHEMA = "host string, token long, path string, is_text boolean, vector0 long, vector1 long, pages long, places long, chars long, links long, level int, out boolean"
+SUMS = ("vector0", "vector1", "pages", "places", "chars", "links")
 
 
 def scan_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The tokens of a task's pages by host: sums that stand for occurrence vectors, pages and characters."""
-    sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
+    sums: dict[tuple, list[int]] = defaultdict(lambda: [0] * len(SUMS))
 
     def put() -> pa.RecordBatch:
         rows = [(k[0], _signed(k[1]), *k[2:4], *v, *k[4:]) for k, v in sums.items()]
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * len(SUMS), pa.int32(), pa.bool_())
         names = [f.split()[0] for f in TOKEN_SCHEMA.split(", ")]
         made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
         sums.clear()
@@ -239,29 +251,35 @@ def scan_tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in in_chunks(batches, "html", CHUNK_BYTES):
         for host, page, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
-            counts: Counter = Counter()
-            sizes: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
-            for u in units_of(html):
-                token = (host, key_of("path", u.path), u.path, False, u.level, u.out)
-                counts[token] += 1
-                sizes[token][0] += len(u.text)
-                sizes[token][1] += min(u.links, len(u.text))
-                if u.level < 3:
-                    counts[(host, key_of("text", u.path, u.text), u.path, True, u.level, u.out)] += 1
-            for token, count in counts.items():
-                held = sums[token]
+            for token, (count, place, chars, links) in page_tokens(units_of(html)).items():
+                held = sums[(host, *token)]
                 cell = key_of(page, str(count))
-                held[0] += cell >> 32
-                held[1] += cell & 0xFFFFFFFF
-                held[2] += 1
-                held[3] += sizes[token][0] if token in sizes else 0
-                held[4] += sizes[token][1] if token in sizes else 0
+                for i, x in enumerate((cell >> 32, cell & 0xFFFFFFFF, 1, place, chars, links)):
+                    held[i] += x
         if len(sums) > 100_000:
             yield put()
     if sums:
         yield put()
 
 
+def page_tokens(units: list[Unit]) -> dict[tuple, list[int]]:
+    """(token, path, whether it is a text, level, whether it is no content) of a page, with how often it occurs, its
+    first place, and its characters in all and in links."""
+    found: dict[tuple, list[int]] = {}
+    for at, u in enumerate(units):
+        place = (key_of("path", u.path), u.path, False, u.level, u.out)
+        text = (text_key(u), u.path, True, u.level, u.out)
+        for own in (found.setdefault(place, [0, 2 * at, 0, 0]), found.setdefault(text, [0, 2 * at + 1, 0, 0])):
+            own[0] += 1
+            own[2] += len(u.text)
+            own[3] += min(u.links, len(u.text))
+    return found
+
+
+def text_key(u: Unit) -> int:
+    return key_of("text", u.path, u.text)
+
+
 _ALL = (1 << 64) - 1
 
 
@@ -269,41 +287,82 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens): the valid classes of each host, from pages (host, page, html)."""
+def classes_of(pages: DataFrame) -> DataFrame:
+    """(host, class, pages, members): the valid classes of each host, from pages (host, page, html)."""
     scanned = pages.mapInArrow(scan_tokens, TOKEN_SCHEMA)
-    sums = scanned.groupBy("host", "token", "path", "is_text", "level", "out").agg(*(F.sum(c).alias(c) for c in ("vector0", "vector1", "pages", "chars", "links")))
+    sums = scanned.groupBy("host", "token", "path", "is_text", "level", "out").agg(*(F.sum(c).alias(c) for c in SUMS))
     sizes = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     frequent = sums.where(F.col("pages") >= LEAST_PAGES).join(sizes, "host").where(F.col("pages") >= LEAST_SHARE * F.col("host_pages"))
-    classes = frequent.groupBy("host", "vector0", "vector1", "pages").agg(F.collect_list(F.struct("token", "path", "is_text", "chars", "links", "level", "out")).alias("members"))
+    member = F.struct((F.col("places") / F.col("pages")).alias("place"), "token", "path", "is_text", "chars", "links", "level", "out")
+    classes = frequent.groupBy("host", "vector0", "vector1", "pages").agg(F.array_sort(F.collect_list(member)).alias("members"))
     # A text needs another token with its vector; a place is its own proof, having an opening and an end.
     valid = classes.where((F.size("members") > 1) | F.exists("members", lambda m: ~m["is_text"]))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("tokens"))
+    return valid.select("host", F.xxhash64("vector0", "vector1", "pages").alias("class"), "pages", "members")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, classes): the valid classes of each host, those of most pages first."""
+    return classes_of(pages).groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("pages"), (-F.size("members")).alias("size"), "class", "members"))).alias("classes"))
+
+
+def nested(classes: list[dict]) -> list[list[dict]]:
+    """The parts of the classes, as lists of members in order, that nest: each lies in one gap of those before it."""
+    bounds: list[float] = []
+    parts: list[list[dict]] = []
+    for c in classes:
+        by_gap: dict[int, list[dict]] = defaultdict(list)
+        for m in c["members"]:
+            by_gap[bisect_left(bounds, m["place"])].append(m)
+        kept = [p for p in by_gap.values() if len(p) > 1 or not p[0]["is_text"]]
+        parts += kept
+        bounds = sorted([*bounds, *(m["place"] for p in kept for m in p)])
+    return parts
 
 
 class Template:
     """A host's template: the texts that belong to it, the level of its main slot and its places of links."""
 
-    def __init__(self, tokens: list[dict] | None) -> None:
-        tokens = tokens or []
-        self.texts = {t["token"] & _ALL for t in tokens if t["is_text"]}
-        slots = [t for t in tokens if not t["is_text"] and not t["out"]]
+    def __init__(self, classes: list[dict] | None) -> None:
+        parts = nested(classes or [])
+        #: The part of each text, and its number in the part.
+        self.texts = {m["token"] & _ALL: (k, i) for k, p in enumerate(parts) for i, m in enumerate(p) if m["is_text"]}
+        slots = [m for p in parts for m in p if not m["is_text"] and not m["out"]]
         whole = sum(t["chars"] for t in slots)
         self.level = max((t["level"] for t in slots if 5 * sum(s["chars"] for s in slots if s["level"] >= t["level"]) >= whole), default=None)
         #: Places whose text is mostly links on the host's pages, or not.
         self.linked = {t["path"]: 2 * t["links"] > t["chars"] for t in slots}
+        said: Counter = Counter()
+        for m in (m for p in parts for m in p if m["is_text"]):
+            said[m["path"]] += m["chars"]
+        #: Places that have the template's texts to themselves, but for headings, which name what they head.
+        self.filled = {t["path"] for t in slots if said[t["path"]] >= FILLED * t["chars"] and not HEADING.search(t["path"])}
+
+    def fresh(self, units: list[Unit]) -> list[bool]:
+        """Which units of a page are not the template's: a part's texts are if they stand here in its order."""
+        where = [self.texts.get(text_key(u)) for u in units] if self.texts else [None] * len(units)
+        last: dict[int, int] = {}
+        broken, seen = set(), set()
+        for at in where:
+            if at is None or at in seen:
+                continue
+            seen.add(at)
+            if at[1] < last.get(at[0], -1):
+                broken.add(at[0])
+            last[at[0]] = at[1]
+        return [at is None or at[0] in broken for at in where]
 
 
 def main_text(units: list[Unit], template: Template) -> str:
     """The text of the main slot of one page."""
-    content = [u for u in units if not u.out]
-    best = max((u.level for u in content), default=0)
+    content = [(u, f) for u, f in zip(units, template.fresh(units)) if not u.out]
+    best = max((u.level for u, _ in content), default=0)
     wanted = best if template.level is None else min(template.level, best)
-    fresh = [u for u in content if key_of("text", u.path, u.text) not in template.texts]
+    fresh = [u for u, f in content if f]
     if wanted > 0:
-        # Articles stay whole; in main areas and named elements what the template has is none of the text.
-        whole = [u for u in content if u.level >= wanted]
-        picked = whole if wanted == 3 else [u for u in fresh if u.level >= wanted] or whole
+        whole = [u for u, _ in content if u.level >= wanted]
+        picked = [u for u, f in content if u.level >= wanted and (f or (wanted == 3 and u.path not in template.filled))] or whole
+        if wanted == 3 and sum(len(u.text) for u in picked) < ARTICLE_SHARE * sum(len(u.text) for u in whole):
+            picked = whole
     else:
         picked = [u for u in fresh if not template.linked.get(u.path, 2 * u.links > len(u.text))]
     return "\n\n".join(u.text for u in picked)
@@ -317,24 +376,24 @@ def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html"
     html = F.coalesce(F.col(html_column).cast("string"), F.lit(""))
     page = F.coalesce(F.col(id_column).cast("string"), F.lit("")) if id_column in pages.columns else F.lit("")
     known = checkpointed(templates(pages.select(host.alias("host"), F.concat_ws("\n", page, F.col(url_column)).alias("page"), html.alias("html"))))
-    size = known.agg(F.sum(F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + F.length(t["path"]) + 64))).first()[0] or 0
-    known = known.withColumnsRenamed({"host": "_host", "tokens": "_tokens"})
-    rows = pages.select(*keep, host.alias("_own_host"), html.alias("_html"))
-    joined = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, F.col("_own_host") == F.col("_host"), "left")
-    ins = joined.select(*keep, "_own_host", "_html", "_tokens")
+    size = known.agg(F.sum(F.aggregate("classes", F.lit(0).cast("long"), lambda a, c: a + F.aggregate(c["members"], F.lit(0).cast("long"), lambda b, t: b + F.length(t["path"]) + 72)))).first()[0] or 0
+    fields = [pages.schema[c] for c in keep]
+    own = [f"keep{i}" for i in range(len(keep))]  # no name of the input's stands beside those used here
+    rows = pages.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, own)), host.alias("host"), html.alias("html"))
+    ins = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left").select(*own, "host", "html", "classes")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Template] = {}
-        for batch in in_chunks(batches, "_html", CHUNK_BYTES):
-            hosts = batch.column("_own_host").to_pylist()
-            tokens = batch.column("_tokens")
+        for batch in in_chunks(batches, "html", CHUNK_BYTES):
+            hosts = batch.column("host").to_pylist()
+            classes = batch.column("classes")
             if len(held) > 2000:
                 held.clear()
             for i, h in enumerate(hosts):
                 if h not in held:
-                    held[h] = Template(tokens[i].as_py())
-            texts = [main_text(units_of(x), held[h]) for h, x in zip(hosts, batch.column("_html").to_pylist())]
+                    held[h] = Template(classes[i].as_py())
+            texts = [main_text(units_of(x), held[h]) for h, x in zip(hosts, batch.column("html").to_pylist())]
             columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, *columns], names=[*keep, *added])
+            yield pa.RecordBatch.from_arrays([*batch.select(own).columns, *columns], names=[*keep, *added])
 
-    return ins.mapInArrow(run, T.StructType([*(ins.schema[c] for c in keep), *(T.StructField(n, k) for n, k in added.items())]))
+    return ins.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, k) for n, k in added.items())]))
