@@ -30,6 +30,8 @@ from .common import checkpointed, in_chunks, mix64, ragged
 
 CHUNK_BYTES = 1 << 20
 SPREAD_ROWS = 1_000
+#: Links (of 16 bytes) that one task joins when rounds have left no more.
+LAST_LINKS = 1 << 20
 #: Groups of more rows than this yield a forest of their links, smaller ones all their links.
 LARGE_GROUP = 64
 #: (first bit, bits under a Hamming code, free bits)
@@ -246,28 +248,53 @@ def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Sectio
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def connect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, to) for every node of all links (a, b) of a task: `to` is the least node that is connected."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    links = pa.Table.from_batches(held)
+    ends = np.stack([links.column(c).to_numpy() for c in ("a", "b")])
+    nodes, at = np.unique(ends, return_inverse=True)
+    a, b = at.reshape(ends.shape)
+    to = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(to[a], to[b])
+        np.minimum.at(to, to[a], low)
+        np.minimum.at(to, to[b], low)
+        while not np.array_equal(to, to[to]):
+            to = to[to]
+        apart = to[a] != to[b]
+        a, b = a[apart], b[apart]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[to])], names=["node", "to"])
+
+
+def components(pairs: DataFrame, last_links: int = LAST_LINKS) -> DataFrame:
     """(node, label) for every node in `pairs` (a, b): nodes have equal labels if and only if they are connected.
 
     Rounds of contraction: a node goes to its least neighbour, if that is less than itself, and on to where that went;
     links follow their ends, and those that fall on one node go. What is less is drawn anew by a hash in each round, so
-    that chains shrink by a share of their length. A map of nodes keeps connected what was, so when no
-    link is left each component is one node. Links shrink from round to round, and no node's neighbours are gathered.
+    that chains shrink by a share of their length. A map of nodes keeps connected what was. Links shrink from round to
+    round, and no node's neighbours are gathered; when no more than `last_links` are left, one task joins their ends.
     """
     links = checkpointed(pairs.select("a", "b"))
-    labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("label", F.col("node"))
+    labels = None
     turn = 0
-    while not links.isEmpty():
+    while (left := links.count()) > 0:
         turn += 1
-        both = links.union(links.select("b", "a")).toDF("node", "other")
-        drawn = lambda c, turn=turn: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("rank"), F.col(c).alias("to"))
-        hooked = both.groupBy("node").agg(F.least(drawn("node"), F.min(drawn("other")))["to"].alias("up"))
-        above = hooked.toDF("up", "top")
-        moved = checkpointed(hooked.join(above, "up").select("node", F.col("top").alias("to")))
-        ends = links.join(moved.toDF("a", "x"), "a").join(moved.toDF("b", "y"), "b")
-        links = checkpointed(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        labels = checkpointed(labels.join(moved.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-    return labels
+        if left <= last_links:
+            moved = checkpointed(links.repartition(1).mapInArrow(connect, "node long, to long"))
+            links = links.limit(0)
+        else:
+            both = links.union(links.select("b", "a")).toDF("node", "other")
+            drawn = lambda c, turn=turn: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("rank"), F.col(c).alias("to"))
+            hooked = both.groupBy("node").agg(F.least(drawn("node"), F.min(drawn("other")))["to"].alias("up"))
+            above = hooked.toDF("up", "top")
+            moved = checkpointed(hooked.join(above, "up").select("node", F.col("top").alias("to")))
+            ends = links.join(moved.toDF("a", "x"), "a").join(moved.toDF("b", "y"), "b")
+            links = checkpointed(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        labels = moved.toDF("node", "label") if labels is None else checkpointed(labels.join(moved.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    return links.toDF("node", "label") if labels is None else labels
 
 
 def near_groups(marked: DataFrame, words: Sequence[str] = ("fp",), sections: Sequence[Section] = HALVES, threshold: int = THRESHOLD, id_column: str = "doc_id") -> DataFrame:
