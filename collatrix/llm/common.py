@@ -24,16 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` cut from its lineage by a reliable checkpoint in the folder that the cluster names.
 
-    `spark.checkpoint.dir` is read from the session. Only where it is unset, as in local tests, is a folder chosen here.
+    `spark.checkpoint.dir` is read from the session. Only in local mode, as in tests, is a folder chosen here where it is
+    unset; on a cluster that would be lost with a machine.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(folder or "/tmp/collatrix-checkpoints")
     return df.checkpoint(eager=True)
 
 
+def renamed(df: DataFrame, columns: list[str]) -> tuple[list, list[str]]:
+    """(`columns` of `df` under names that nothing else has, those names): what is added beside them can't clash."""
+    own = [f"_column{i}" for i in range(len(columns))]
+    return [F.col(f"`{c}`").alias(n) for c, n in zip(columns, own)], own
+
+
+def small(rows: DataFrame, most: int) -> DataFrame:
+    """`rows`, short and checkpointed as they are counted here, marked for broadcast if there are no more than `most`."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def text_or_empty(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -7,7 +7,8 @@ of its id falls below the fraction.
 
 Defined results: null text counts as empty (size 0); a null source is a source of its own, ordered last; repeated
 rows are documents of their own with equal decisions; a source without words has target 0 and rate 0; an empty table
-gives an empty result. Columns of the input whose names clash with result columns are replaced by the results.
+gives an empty result. In `mix`, columns of the input whose names clash with result columns are replaced by the results;
+`emit` returns the input's columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, text_or_empty
+from .common import WORD_PATTERN, checkpointed, renamed, text_or_empty
 
+#: Sources, a short row each, that are broadcast at most; more are joined by shuffle.
+MOST_SOURCES = 1 << 16
 RESULT_COLUMNS = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
@@ -65,6 +68,21 @@ def unit_hash(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def decided(sized: DataFrame, weights: Sequence[float], most_epochs: float, seed: int) -> DataFrame:
+    """`sized` (…, _id, _source, _size) with _source_size, _target, _rate and _copies."""
+    sizes = checkpointed(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")))
+    rates = source_targets(sizes, weights, most_epochs).toDF("_named", "_source_size", "_target", "_rate")
+    known = F.broadcast(rates) if sizes.count() <= MOST_SOURCES else rates
+    joined = sized.join(known, F.col("_source").eqNullSafe(F.col("_named"))).drop("_named")
+    extra = (unit_hash(F.col("_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("int")
+    return joined.withColumn("_copies", F.floor("_rate").cast("int") + extra)
+
+
+def _sized(docs: DataFrame, keep: Sequence[str], id_column: str, text_column: str, source_column: str) -> tuple[DataFrame, list[str]]:
+    columns, own = renamed(docs, list(keep))
+    return docs.select(*columns, F.col(id_column).alias("_id"), F.col(source_column).alias("_source"), word_count(text_column).alias("_size")), own
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -73,22 +91,23 @@ def mix(
     id_column: str = "doc_id",
     text_column: str = "text",
     source_column: str = "source",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Every document with its size, its source's size and target, and the copies that the mix takes."""
-    kept = [c for c in docs.columns if c not in RESULT_COLUMNS]
-    sized = docs.select(*kept, word_count(text_column).alias("size"))
-    sizes = sized.groupBy(F.col(source_column).alias("source")).agg(F.sum("size").alias("source_size"))
-    rates = source_targets(sizes, weights, most_epochs).withColumnRenamed("source", "_source")
-    # One row a source: Spark broadcasts it below its own size threshold and else joins by shuffle.
-    joined = sized.join(rates, F.col(source_column).eqNullSafe(F.col("_source"))).drop("_source")
-    whole = F.floor("rate").cast("int")
-    extra = (unit_hash(F.col(id_column), seed) < F.col("rate") - F.floor("rate")).cast("int")
-    return joined.withColumn("copies", whole + extra).withColumn("taken", F.col("size") * F.col("copies"))
-
-
-def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mixed corpus: each document as many times as its copies."""
-    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    """The `keep` columns of every document with its size, its source's size and target, and the copies that the mix takes."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT_COLUMNS]
+    sized, own = _sized(docs, keep, id_column, text_column, source_column)
+    # Without the texts rows are short: they are counted once and kept, not read again for the sums.
+    made = decided(sized if text_column in keep else checkpointed(sized), weights, most_epochs, seed)
+    results = [F.col(f"_{c}").alias(c) for c in RESULT_COLUMNS[:-1]]
+    return made.select(*(F.col(n).alias(c) for c, n in zip(keep, own)), *results, (F.col("_size") * F.col("_copies")).alias("taken"))
+
+
+def emit(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most_epochs: float = 3, seed: int = 17, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """The mixed corpus: each document, as it came, as many times as its copies."""
+    sized, own = _sized(docs, docs.columns, id_column, text_column, source_column)
+    made = decided(sized, weights, most_epochs, seed).where("_copies > 0")
+    repeated = made.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, own)))
 
 
 ORACLE_SQL = r"""
