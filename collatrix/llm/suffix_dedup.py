@@ -20,7 +20,7 @@ Equality in steps 1 and 2 is equality of two 64-bit hashes with length; step 3 c
 
 Defined results: null and empty texts have no bytes; matches never cross documents; repeated rows, and other rows of
 one id, count as one document, so of two rows with the same id the later start goes and equal starts both stay; a null
-id comes before all others; texts shorter than `length` stay whole. Other columns are not needed and not read.
+id comes before all others; texts shorter than `length` stay whole. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, mix64, ragged
+from .common import in_chunks, mix64, ragged, renamed
 
 LENGTH, GRAM = 100, 32
 #: Depth in bytes of the multikey quicksort.
@@ -404,39 +404,43 @@ def kept_bytes(raw: bytes, spans: np.ndarray) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def with_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hot_segments: int = HOT_SEGMENTS) -> DataFrame:
-    """Every row of `docs`, with `_spans`: its repeated spans as packed pairs of 32-bit integers, null if it has none."""
+def with_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hot_segments: int = HOT_SEGMENTS) -> tuple[DataFrame, list[str]]:
+    """(every row of `docs` with `_spans`, its repeated spans as packed pairs of 32-bit integers, null if it has none;
+    the names that its columns have there)."""
     spark = docs.sparkSession
-    id_, text = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_column), F.lit(""))
-    keyed = docs.withColumns({"_id": id_, "_key": F.xxhash64(text)})
+    columns, own = renamed(docs, docs.columns)
+    named = dict(zip(docs.columns, own))
+    id_, text = F.coalesce(F.col(named[id_column]).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(named[text_column]), F.lit(""))
+    keyed = docs.select(*columns).withColumns({"_id": id_, "_key": F.xxhash64(text)})
     size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
     buckets = max(12, math.ceil(size / BUCKET_BYTES))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
-    long_enough = keyed.where(F.octet_length(text_column) >= LENGTH).select(F.col("_id").alias("id"), F.col("_key").alias("key"), F.col(text_column).alias("text"))
-    scanned = long_enough.mapInArrow(scanner(buckets), ROW)
+    long_enough = keyed.where(F.octet_length(named[text_column]) >= LENGTH).select(F.col("_id").alias("id"), F.col("_key").alias("key"), F.col(named[text_column]).alias("text"))
+    # Both groupings by bucket have as many partitions as the input needs, so that tasks don't grow with it.
+    scanned = long_enough.mapInArrow(scanner(buckets), ROW).repartition(parts, "bucket")
     joined = scanned.groupBy("bucket").applyInArrow(bucket_joiner(hot_segments), ROW)
     going_on = joined.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("payload").alias("_payloads"), F.collect_list("spans").alias("_chunks"))
     # Both joins below read this one exchange: Python takes all its columns, so none is pruned from either.
     dealt = keyed.repartition(parts, "_id", "_key")
-    cut = dealt.join(going_on, ["_id", "_key"]).mapInArrow(cutter(buckets, text_column), SEGMENT)
-    marks = cut.groupBy("bucket").applyInArrow(sort_bucket, "id long, key long, spans binary")
+    cut = dealt.join(going_on, ["_id", "_key"]).mapInArrow(cutter(buckets, named[text_column]), SEGMENT)
+    marks = cut.repartition(parts, "bucket").groupBy("bucket").applyInArrow(sort_bucket, "id long, key long, spans binary")
     marks = marks.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("spans").alias("_spans"))
-    return dealt.join(marks, ["_id", "_key"], "left")
+    return dealt.join(marks, ["_id", "_key"], "left"), own
 
 
 def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
-    joined = with_spans(docs.select(id_column, text_column), id_column, text_column)
+    joined, (own_id, own_text) = with_spans(docs.select(id_column, text_column), id_column, text_column)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for text, chunks in zip(batch.column(text_column).cast(pa.binary()).to_pylist(), batch.column("_spans").to_pylist()):
+            for text, chunks in zip(batch.column(own_text).cast(pa.binary()).to_pylist(), batch.column("_spans").to_pylist()):
                 spans = spans_of(chunks)
                 found.append((len(text or b""), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept_bytes(text or b"", spans)).hexdigest()))
             columns = list(zip(*found)) if found else [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(own_id), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     return joined.mapInArrow(run, f"{id_column} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -445,13 +449,16 @@ def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`docs` with repeated spans taken out of the text; bytes of a character that a span cuts go with it."""
     schema = docs.schema
+    joined, own = with_spans(docs, id_column, text_column)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_column).to_pylist()
+            columns = dict(zip(schema.names, batch.select(own).columns))
+            texts = columns[text_column].to_pylist()
             for i, chunks in enumerate(batch.column("_spans").to_pylist()):
                 if chunks:
                     texts[i] = kept_bytes(texts[i].encode(), spans_of(chunks)).decode("utf-8", "ignore")
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_column else batch.column(c) for c in schema.names], names=schema.names)
+            columns[text_column] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=schema.names)
 
-    return with_spans(docs, id_column, text_column).mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
