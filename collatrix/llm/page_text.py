@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, in_chunks
+from .common import checkpointed, in_chunks, renamed
 
 #: A valid class occurs on this many pages of its host, and on this share of them.
 LEAST_PAGES, LEAST_SHARE = 4, 0.5
@@ -378,8 +378,8 @@ def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html"
     known = checkpointed(templates(pages.select(host.alias("host"), F.concat_ws("\n", page, F.col(url_column)).alias("page"), html.alias("html"))))
     size = known.agg(F.sum(F.aggregate("classes", F.lit(0).cast("long"), lambda a, c: a + F.aggregate(c["members"], F.lit(0).cast("long"), lambda b, t: b + F.length(t["path"]) + 72)))).first()[0] or 0
     fields = [pages.schema[c] for c in keep]
-    own = [f"keep{i}" for i in range(len(keep))]  # no name of the input's stands beside those used here
-    rows = pages.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, own)), host.alias("host"), html.alias("html"))
+    columns, own = renamed(pages, keep)
+    rows = pages.select(*columns, host.alias("host"), html.alias("html"))
     ins = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left").select(*own, "host", "html", "classes")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +393,7 @@ def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html"
                 if h not in held:
                     held[h] = Template(classes[i].as_py())
             texts = [main_text(units_of(x), held[h]) for h, x in zip(hosts, batch.column("html").to_pylist())]
-            columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.select(own).columns, *columns], names=[*keep, *added])
+            made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.select(own).columns, *made], names=[*keep, *added])
 
     return ins.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, k) for n, k in added.items())]))
