@@ -9,8 +9,9 @@ double precision, and each query keeps its k best over all shards.
 
 Equal vectors are one point of a graph, with their k + 1 smallest ids: enough for any answer, however many copies.
 
-The measure is the inner product. Graphs are built on vectors with one more component that gives all of them the norm
-of the longest in the shard, so that the largest product is the least distance there.
+The measure is the inner product, in the graph as in the result: a point links to those with which its product is
+largest. Recall at 20 on a full shard of 64 components is 0.98 and more on Gaussian vectors, whether their lengths agree
+or vary tenfold (tests). A shard of no more than `ef` points is read whole.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, as query or
 candidate; vectors of another length than the query's are no candidates for it; ties go to the smaller id; repeated
@@ -28,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SHARD_ROWS = 8192
-LINKS, EF_BUILD, EF_SEARCH = 16, 96, 160
+LINKS, EF_BUILD, EF_SEARCH = 16, 96, 200
 BLOCK = 256
 
 
@@ -37,10 +38,9 @@ class Graph:
 
     def __init__(self, vectors: np.ndarray, links: int = LINKS, ef: int = EF_BUILD, seed: int = 5) -> None:
         n = len(vectors)
-        longest = np.sqrt((vectors**2).sum(axis=1)).max(initial=0.0)
-        rest = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
-        self.points = np.concatenate([vectors, rest[:, None]], axis=1).astype(np.float32)
-        self.longest, self.links = longest, links
+        # Scaled, as a product of components beyond single precision would not compare.
+        self.points = (vectors / max(np.abs(vectors).max(initial=0.0), 1e-300)).astype(np.float32)
+        self.links = links
         rng = np.random.default_rng(seed)
         self.top = np.floor(-np.log(1 - rng.random(n)) / np.log(links)).astype(np.int64)
         order = np.argsort(-self.top, kind="stable")  # upper layers first, so that each block finds its entry ready
@@ -162,10 +162,12 @@ class Graph:
     def search(self, queries: np.ndarray, ef: int = EF_SEARCH) -> np.ndarray:
         """Numbers of up to `ef` points for each query, -1 where there are fewer."""
         out = np.full((len(queries), ef), -1, np.int64)
-        if not len(self.points):
+        if len(self.points) <= ef:
+            out[:, : len(self.points)] = self.number
             return out
         for start in range(0, len(queries), BLOCK):
-            own = np.concatenate([queries[start : start + BLOCK], np.zeros((len(queries[start : start + BLOCK]), 1))], axis=1).astype(np.float32)
+            own = queries[start : start + BLOCK]
+            own = (own / np.maximum(np.abs(own).max(axis=1, initial=0.0), 1e-300)[:, None]).astype(np.float32)
             entry = np.zeros((len(own), 1), np.int64)
             for level in range(len(self.layers) - 1, 0, -1):
                 entry = self._beam(own, level, entry, 1, len(self.layers[level]))[0]
@@ -242,6 +244,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str
         columns = list(zip(*out)) if out else [(), (), ()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
 
-    found = dealt.groupBy("shard", "size").cogroup(sent.groupBy("shard", "size")).applyInArrow(search, "query_id long, id long, score double")
+    # A task for each shard, as its search is far longer than its bytes tell.
+    left, right = (rows.repartition(shards, "shard", "size") for rows in (dealt, sent))
+    found = left.groupBy("shard", "size").cogroup(right.groupBy("shard", "size")).applyInArrow(search, "query_id long, id long, score double")
     place = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")
