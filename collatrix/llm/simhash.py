@@ -8,7 +8,10 @@ most). Whatever lies within the threshold of x is then at x's home, and the two
 
 Equal fingerprints are one node from the start, so a group of exact copies takes one row however large it is. A large
 group at an anchor yields a spanning forest of its links rather than all of them, and links between fingerprints that
-share a home are made before any is replicated. Pairs that compare as near are contracted to components in rounds, on checkpoints.
+share a home are made before any is replicated. An anchor that a sample of the fingerprints shows to be hot is split by
+anchors of its own on the other half's quarters, one of which differs in at most one bit as well, so no anchor gathers a
+great part of the fingerprints in one task. Pairs that compare as near are contracted to components in rounds, on
+checkpoints.
 
 Defined results: null and empty texts have no shingle and the fingerprint zero, and link like any other; repeated
 rows and ids fall together; a null id never names a component unless its component has no other; an empty table gives
@@ -38,6 +41,8 @@ LARGE_GROUP = 64
 Section = tuple[int, int, int]
 THRESHOLD = 3
 HALVES: tuple[Section, ...] = ((0, 31, 1), (32, 31, 1))
+#: One fingerprint in this many is looked at for hot anchors, which have this many of those; at most so many are split.
+SAMPLE, HOT, MOST_HOT = 64, 256, 1 << 16
 #: A byte of the unpacked bits holds a count up to this.
 LANE = 255
 
@@ -144,6 +149,27 @@ def anchors(fps: np.ndarray, sections: Sequence[Section], home_only: bool = Fals
     return np.concatenate(index), np.concatenate(key), np.concatenate(home)
 
 
+def quarters(section: int) -> tuple[Section, ...]:
+    """The sections that split a hot anchor of one half: the quarters of the other."""
+    first = HALVES[1 - section][0]
+    return ((first, 15, 1), (first + 16, 15, 1))
+
+
+def split_hot(fps: np.ndarray, index: np.ndarray, key: np.ndarray, home: np.ndarray, hot: np.ndarray, home_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of `anchors`, with rows at hot anchors dealt out to anchors of the other half's quarters. A pair that
+    meets at a hot anchor, one of it at home, meets at one of these, that one at home there too."""
+    at = np.isin(key, hot)
+    if not at.any():
+        return index, key, home
+    found = [(index[~at], key[~at], home[~at])]
+    for section in range(len(HALVES)):
+        rows = np.flatnonzero(at & (key >> 48 == section))
+        sub, sub_key, sub_home = anchors(fps[index[rows]], quarters(section), home_only)
+        both = mix64(mix64(key[rows[sub]].view(np.uint64)) ^ sub_key.view(np.uint64)) >> np.uint64(2)
+        found.append((index[rows[sub]], both.view(np.int64), home[rows[sub]] & sub_home))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def forest(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect exactly what the pairs within `threshold` connect, one less than nodes at most.
 
@@ -210,12 +236,24 @@ def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Sectio
     def stacked(data: pa.RecordBatch | pa.Table) -> np.ndarray:
         return np.stack([data.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
 
+    def homes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(anchors(stacked(batch), sections, True)[1])], names=["anchor"])
+
+    sampled = nodes.where(F.pmod(F.xxhash64(F.lit(SAMPLE), *words), F.lit(SAMPLE)) == 0).select(*words).mapInArrow(homes, "anchor long")
+    hot = None
+    if tuple(sections) == HALVES and len(words) == 1:
+        often = sampled.groupBy("anchor").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "anchor").limit(MOST_HOT)
+        hot = nodes.sparkSession.sparkContext.broadcast(np.sort(often.select("anchor").toArrow().column("anchor").to_numpy()))
+
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, SPREAD_ROWS):
                 own = batch.slice(start, SPREAD_ROWS)
                 fps = stacked(own)
                 index, key, home = anchors(fps, sections, home_only)
+                if hot is not None:
+                    index, key, home = split_hot(fps, index, key, home, hot.value, home_only)
                 columns = [pa.array(key << 1 | home), *(pa.array(own.column(c).to_numpy()[index]) for c in numbers), *(pa.array(fps[index, i].view(np.int64)) for i in range(len(words)))]
                 yield pa.RecordBatch.from_arrays(columns, names=["place", *numbers, *words])
 
