@@ -56,8 +56,14 @@ def _normal_tokens(tokens: pa.Array) -> pa.Array:
     return pa.array([None if t is None else normal_token(t) for t in tokens.to_pylist()], pa.string())
 
 
+def normal_form(token: str | Column) -> Column:
+    """The form in which tokens are compared, by an Arrow function."""
+    return _normal_tokens(token)
+
+
 def normalize_token(token: str | Column) -> Column:
-    """The form in which tokens are compared. ASCII, where only the backtick changes, stays in the JVM."""
+    """The form in which tokens are compared. Every row goes to Python, ASCII or not: where there are many, filter first,
+    as `tokens_of` does, or normalise distinct tokens."""
     token = F.col(token) if isinstance(token, str) else token
     return F.when(token.rlike(r"^[\x00-\x7f]*$"), F.translate(token, "`", "'")).otherwise(_normal_tokens(token))
 
