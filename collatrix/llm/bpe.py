@@ -27,7 +27,9 @@ from .common import in_chunks, ragged
 from .tokenizer_file import load
 
 CHUNK_BYTES = 2 << 20
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
+#: Words encoded at once.
+ENCODED = 4096
 
 Batches = Iterable[pa.RecordBatch]
 
@@ -51,7 +53,9 @@ class WordTable:
         self.ids = np.zeros(0, np.int32)
 
     def add(self, words: list[str]) -> None:
-        found = [e.ids for e in self.encoder.encode_batch(words, add_special_tokens=False)]
+        found: list[list[int]] = []
+        for k in range(0, len(words), ENCODED):  # the library's results are far larger than the ids
+            found += [e.ids for e in self.encoder.encode_batch(words[k : k + ENCODED], add_special_tokens=False)]
         lengths = np.array([len(x) for x in found], np.int64)
         flat = np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
