@@ -41,7 +41,7 @@ LENGTH, GRAM = 100, 32
 #: Depth in bytes of the multikey quicksort.
 SHALLOW = 24
 #: Bytes hashed at once, anchors that a scan task holds before it ships them, bytes of text that a bucket or partition stands for.
-BLOCK, HELD, BUCKET_BYTES, PART_BYTES = 1 << 20, 1 << 20, 8 << 20, 16 << 20
+BLOCK, HELD, BUCKET_BYTES, PART_BYTES = 1 << 18, 1 << 19, 8 << 20, 16 << 20
 #: Segments of one anchor beyond which their windows are dealt out one by one.
 HOT_SEGMENTS = 2048
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
