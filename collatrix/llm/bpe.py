@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import in_chunks, ragged
+from .common import giving_back, in_chunks, ragged
 from .tokenizer_file import load
 
 CHUNK_BYTES = 2 << 20
@@ -130,7 +130,7 @@ def decode_batches(path: str, ids_column: str = "ids", name: str = "decoded") ->
 
 def _with(df: DataFrame, name: str, kind: T.DataType, run: Callable) -> DataFrame:
     rest = [f for f in df.schema.fields if f.name != name]
-    return df.mapInArrow(run, T.StructType([*rest, T.StructField(name, kind)]))
+    return df.mapInArrow(giving_back(run), T.StructType([*rest, T.StructField(name, kind)]))
 
 
 def encode(docs: DataFrame, path: str, text_column: str = "text", name: str = "ids") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
-_MASK = (1 << 64) - 1
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,23 @@ def small(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+def give_back() -> None:
+    """Returns memory that this Python worker has freed to the system: workers outlive their tasks, several in a machine."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def giving_back(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` on the batches of a task, and after them the memory that it used goes back."""
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def text_or_empty(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import SPACE_BYTES, in_chunks
+from .common import SPACE_BYTES, giving_back, in_chunks
 
 #: Characters that count as symbols.
 SYMBOL_BYTES = b"#*$%&|<>"
@@ -168,4 +168,4 @@ def apply_rules(
             else:
                 yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(found[m[0]], m[1]) for m in METRICS)], names=[*keep, *names])
 
-    return ins.mapInArrow(run, schema)
+    return ins.mapInArrow(giving_back(run), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_intdigest, xxh64_intdigest
 
-from .common import checkpointed, in_chunks, mix64, ragged
+from .common import checkpointed, giving_back, in_chunks, mix64, ragged
 
 CHUNK_BYTES = 1 << 20
 SPREAD_ROWS = 1_000
@@ -103,7 +103,7 @@ def with_fingerprints(docs: DataFrame, text_column: str = "text", keep: list[str
             found = fingerprints(batch.column(text_column).to_pylist(), shingle, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, *(pa.array(found[:, i]) for i in range(len(names)))], names=[*keep, *names])
 
-    return ins.mapInArrow(run, T.StructType([*(ins.schema[c] for c in keep), *(T.StructField(n, T.LongType()) for n in names)]))
+    return ins.mapInArrow(giving_back(run), T.StructType([*(ins.schema[c] for c in keep), *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 def syndromes(part: np.ndarray, code: int) -> np.ndarray:
@@ -240,7 +240,7 @@ def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Sectio
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(anchors(stacked(batch), sections, True)[1])], names=["anchor"])
 
-    sampled = nodes.where(F.pmod(F.xxhash64(F.lit(SAMPLE), *words), F.lit(SAMPLE)) == 0).select(*words).mapInArrow(homes, "anchor long")
+    sampled = nodes.where(F.pmod(F.xxhash64(F.lit(SAMPLE), *words), F.lit(SAMPLE)) == 0).select(*words).mapInArrow(giving_back(homes), "anchor long")
     hot = None
     if tuple(sections) == HALVES and len(words) == 1:
         often = sampled.groupBy("anchor").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "anchor").limit(MOST_HOT)
@@ -281,9 +281,9 @@ def near_pairs(nodes: DataFrame, words: Sequence[str], sections: Sequence[Sectio
             yield from done(pa.Table.from_batches(held))
 
     shape = ", ".join(f"{w} long" for w in [*numbers, *words])
-    rows = nodes.select(*numbers, *words).mapInArrow(spread, f"place long, {shape}")
+    rows = nodes.select(*numbers, *words).mapInArrow(giving_back(spread), f"place long, {shape}")
     dealt = rows.repartition(F.shiftright("place", 1)).sortWithinPartitions("place")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(giving_back(compare), "a long, b long").distinct()
 
 
 def connect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +321,7 @@ def components(pairs: DataFrame, last_links: int = LAST_LINKS) -> DataFrame:
     while (left := links.count()) > 0:
         turn += 1
         if left <= last_links:
-            moved = checkpointed(links.repartition(1).mapInArrow(connect, "node long, to long"))
+            moved = checkpointed(links.repartition(1).mapInArrow(giving_back(connect), "node long, to long"))
             links = links.limit(0)
         else:
             both = links.union(links.select("b", "a")).toDF("node", "other")

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, mix64, ragged, renamed
+from .common import give_back, giving_back, in_chunks, mix64, ragged, renamed
 
 LENGTH, GRAM = 100, 32
 #: Depth in bytes of the multikey quicksort.
@@ -254,7 +254,9 @@ def join_bucket(table: pa.Table, hot_segments: int = HOT_SEGMENTS) -> pa.Table:
 
 def bucket_joiner(hot_segments: int):
     def run(table: pa.Table) -> pa.Table:
-        return join_bucket(table, hot_segments)
+        found = join_bucket(table, hot_segments)
+        give_back()
+        return found
 
     return run
 
@@ -300,7 +302,7 @@ def cutter(buckets: int, text_column: str):
                     else:
                         rows.append((int(record["h"]) % buckets, id_, key, None, lo, raw[lo:end]))
             yield _segments(rows)
-            if len(hot) > HELD // 4:
+            if len(hot) > HELD // 16:
                 yield from ship()
                 hot.clear()
         if hot:
@@ -389,7 +391,9 @@ def sort_bucket(table: pa.Table) -> pa.Table:
         gone = rows[later]
         out += mark_rows(ids, keys, segment[gone], lo[gone], lo[gone] + LENGTH)
     columns = list(zip(*out)) if out else [(), (), ()]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["id", "key", "spans"])
+    made = pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["id", "key", "spans"])
+    give_back()
+    return made
 
 
 # ---------------------------------------------------------------------------------------------- 4. result
@@ -417,12 +421,12 @@ def with_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
     long_enough = keyed.where(F.octet_length(named[text_column]) >= LENGTH).select(F.col("_id").alias("id"), F.col("_key").alias("key"), F.col(named[text_column]).alias("text"))
     # Both groupings by bucket have as many partitions as the input needs, so that tasks don't grow with it.
-    scanned = long_enough.mapInArrow(scanner(buckets), ROW).repartition(parts, "bucket")
+    scanned = long_enough.mapInArrow(giving_back(scanner(buckets)), ROW).repartition(parts, "bucket")
     joined = scanned.groupBy("bucket").applyInArrow(bucket_joiner(hot_segments), ROW)
     going_on = joined.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("payload").alias("_payloads"), F.collect_list("spans").alias("_chunks"))
     # Both joins below read this one exchange: Python takes all its columns, so none is pruned from either.
     dealt = keyed.repartition(parts, "_id", "_key")
-    cut = dealt.join(going_on, ["_id", "_key"]).mapInArrow(cutter(buckets, named[text_column]), SEGMENT)
+    cut = dealt.join(going_on, ["_id", "_key"]).mapInArrow(giving_back(cutter(buckets, named[text_column])), SEGMENT)
     marks = cut.repartition(parts, "bucket").groupBy("bucket").applyInArrow(sort_bucket, "id long, key long, spans binary")
     marks = marks.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("spans").alias("_spans"))
     return dealt.join(marks, ["_id", "_key"], "left"), own
@@ -433,7 +437,7 @@ def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     joined, (own_id, own_text) = with_spans(docs.select(id_column, text_column), id_column, text_column)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_chunks(batches, own_text, 4 * BLOCK):
             found = []
             for text, chunks in zip(batch.column(own_text).cast(pa.binary()).to_pylist(), batch.column("_spans").to_pylist()):
                 spans = spans_of(chunks)
@@ -443,7 +447,7 @@ def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(own_id), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return joined.mapInArrow(run, f"{id_column} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(giving_back(run), f"{id_column} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -452,7 +456,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     joined, own = with_spans(docs, id_column, text_column)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_chunks(batches, own[schema.names.index(text_column)], 4 * BLOCK):
             columns = dict(zip(schema.names, batch.select(own).columns))
             texts = columns[text_column].to_pylist()
             for i, chunks in enumerate(batch.column("_spans").to_pylist()):
@@ -461,4 +465,4 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             columns[text_column] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(giving_back(run), schema)
