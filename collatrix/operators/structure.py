@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import CAPTION, caption_kind, caption_number, digit_skeleton, normalize_token, round_half_up, squash
+from ..sources.lineage import cut
 from .layout import NOTE, PAGE
 
 # Page edges and how often a line recurs there, small print, distances in points or sizes.
@@ -232,17 +233,18 @@ OBJECTS = ("doc_id", "page", "kind", "number", "caption", *BOX, "key")
 def objects_of(lines: DataFrame, body: DataFrame, graphics: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines with their kinds, objects, members): figures, tables and equations with ids in the order of page and top, and
     which lines and graphics belong to each (doc_id, page, object_id, line_no or graphic)."""
-    captions = caption_lines(lines, body, graphics, rules)
-    boxes = caption_boxes(lines, captions)
-    lines = settle(lines, captions, "caption")
-    placed = figure_graphics(graphics, boxes)
-    labels = sub_labels(lines, boxes, placed)
-    lines = settle(lines, labels, "caption")
-    regions = table_regions(lines, boxes, graphics, rules, body)
-    rows = table_rows(lines, boxes, regions)
-    lines = settle(lines, rows, "table")
-    equations = equation_lines(lines, body)
-    lines = settle(lines, equations, "equation")
+    # Each step reads what the ones before made several times over.
+    captions = cut(caption_lines(lines, body, graphics, rules))
+    boxes = cut(caption_boxes(lines, captions))
+    lines = cut(settle(lines, captions, "caption"))
+    placed = cut(figure_graphics(graphics, boxes))
+    labels = cut(sub_labels(lines, boxes, placed))
+    lines = cut(settle(lines, labels, "caption"))
+    regions = cut(table_regions(lines, boxes, graphics, rules, body))
+    rows = cut(table_rows(lines, boxes, regions))
+    lines = cut(settle(lines, rows, "table"))
+    equations = cut(equation_lines(lines, body))
+    lines = cut(settle(lines, equations, "equation"))
     # What widens each box: its graphics, its rows, and the rules of its region.
     edges = lambda df: df.select(*PAGE, "caption", *BOX)
     ruled = rules.join(regions, list(PAGE)).where((F.col("y0") >= F.col("region_top") - RULE_SLACK) & (F.col("y1") <= F.col("region_bottom") + RULE_SLACK))
@@ -254,7 +256,7 @@ def objects_of(lines: DataFrame, body: DataFrame, graphics: DataFrame, rules: Da
     formulas = in_equation.groupBy(*PAGE, "equation", "number").agg(text.alias("caption"), *[(F.min if c.endswith("0") else F.max)(c).alias(c) for c in BOX])
     every = floats.unionByName(orphans).unionByName(formulas.select(*PAGE, F.lit("equation").alias("kind"), "number", "caption", *BOX, F.concat(F.lit("e"), "equation").alias("key")))
     order = W.partitionBy("doc_id").orderBy("page", "y0", "key")
-    objects = every.select(*OBJECTS).withColumn("object_id", (F.row_number().over(order) - 1).cast("int"))
+    objects = cut(every.select(*OBJECTS).withColumn("object_id", (F.row_number().over(order) - 1).cast("int")))
     member = lambda df, key, at: df.select(*PAGE, key.alias("key"), at.alias("line_no"))
     c = F.concat(F.lit("c"), "caption")
     joined = member(captions, c, F.col("line_no")).unionByName(member(labels, c, F.col("line_no"))).unionByName(member(rows, c, F.col("line_no"))).unionByName(member(equations, F.concat(F.lit("e"), "equation"), F.col("line_no")))
@@ -290,7 +292,7 @@ def outline_sections(lines: DataFrame, outline: DataFrame) -> DataFrame:
 def sections_of(lines: DataFrame, body: DataFrame, outline: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines with kind and section_id, sections): headings from the outline; where no entry was found, numbered lines in
     larger print. A line's section is the last heading at or before it."""
-    entries = outline_sections(lines, outline)
+    entries = cut(outline_sections(lines, outline))
     large = lines.join(body.select("doc_id", "body_size"), "doc_id").where((F.col("kind") == "body") & (F.col("size") >= HEADING_SIZE * F.col("body_size")) & F.col("text").rlike(SECTION_START))
     number = F.regexp_extract("text", SECTION_START, 1)
     plain = large.join(entries.select("doc_id").distinct(), "doc_id", "left_anti").select(*LINE, F.regexp_extract("text", SECTION_START, 2).alias("title"), F.size(F.split(number, r"\.")).alias("level"))
@@ -306,7 +308,7 @@ def sections_of(lines: DataFrame, body: DataFrame, outline: DataFrame) -> tuple[
 
 def structure(lines: DataFrame, page_sizes: DataFrame, body: DataFrame, graphics: DataFrame, rules: DataFrame, outline: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(lines, objects, members, sections) of documents, in the order in which kinds are settled."""
-    marked = mark_footnotes(mark_contents(mark_headers(flat(lines), page_sizes)), body)
+    marked = cut(mark_footnotes(mark_contents(mark_headers(cut(flat(lines)), page_sizes)), body))
     marked, objects, members = objects_of(marked, body, graphics, rules)
     marked, sections = sections_of(marked, body, outline)
     return marked, objects, members, sections
