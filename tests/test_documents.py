@@ -49,10 +49,10 @@ def test_floats_pair_and_streams_align(spark):
 
 def test_moves_are_summed_up(spark):
     words = ["word" + c * 3 for c in "abcdefghijklmnop"]
-    rest = [c * 5 + "x" for c in "abcdefghijklmnopqrst"]
+    rest = [c * n + end for n, end in ((5, "x"), (4, "y")) for c in "abcdefghijklmnopqrstuvwxyz"]
     rows = [("a", i, w, 0, 0, "body") for i, w in enumerate(rest[:10] + words + rest[10:])] + [("b", i, w, 0, 0, "body") for i, w in enumerate(rest + words)]
     tokens = spark.createDataFrame(rows, "doc_id string, tok int, norm string, page int, line_no int, stream string")
     pairs = spark.createDataFrame([("a", "b")], "a string, b string")
     aligned = D.align_documents(pairs, tokens, spark.createDataFrame([], "a string, b string, a_object int, b_object int"))
     got = D.move_summaries(aligned, tokens).collect()
-    assert [(r.words, r.first, r.after_a, r.after_b) for r in got] == [(16, " ".join(words[:10]), " ".join(rest[4:10]), " ".join(rest[14:]))]
+    assert [(r.words, r.first, r.after_a, r.after_b) for r in got] == [(16, " ".join(words[:10]), " ".join(rest[4:10]), " ".join(rest[-6:]))]
