@@ -41,7 +41,7 @@ LENGTH, GRAM = 100, 32
 #: Depth in bytes of the multikey quicksort.
 SHALLOW = 24
 #: Bytes hashed at once, anchors that a scan task holds before it ships them, bytes of text that a bucket or partition stands for.
-BLOCK, HELD, BUCKET_BYTES, PART_BYTES = 1 << 18, 1 << 19, 8 << 20, 16 << 20
+BLOCK, HELD, BUCKET_BYTES, PART_BYTES = 1 << 17, 1 << 17, 8 << 20, 16 << 20
 #: Segments of one anchor beyond which their windows are dealt out one by one.
 HOT_SEGMENTS = 2048
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -220,6 +220,7 @@ def scanner(buckets: int):
             if count > HELD:
                 yield from ship(held, np.concatenate(ids), np.concatenate(keys))
                 held, count, ids, keys, base = [], 0, [], [], 0
+                give_back()
         if held:
             yield from ship(held, np.concatenate(ids), np.concatenate(keys))
 
@@ -302,7 +303,7 @@ def cutter(buckets: int, text_column: str):
                     else:
                         rows.append((int(record["h"]) % buckets, id_, key, None, lo, raw[lo:end]))
             yield _segments(rows)
-            if len(hot) > HELD // 16:
+            if len(hot) > HELD // 4:
                 yield from ship()
                 hot.clear()
         if hot:
