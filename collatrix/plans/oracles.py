@@ -79,9 +79,11 @@ ORACLES: dict[str, str] = {
         SELECT user_id, grp, count(*) AS n_edits, min(event_id) AS least_event, max(event_id) AS greatest_event FROM g GROUP BY 1, 2""",
     "consecutive_share": """WITH s AS (SELECT l_returnflag, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS d FROM lineitem)
         SELECT l_returnflag, count(*) AS n, CAST(count(*) FILTER (d = 1) AS BIGINT) AS n_follow FROM s GROUP BY 1""",
-    "line_number_column": """WITH r AS (SELECT CAST(floor(l_quantity / 2) AS INT) AS bucket, * FROM lineitem),
-        s AS (SELECT bucket, l_linenumber - lag(l_linenumber) OVER (PARTITION BY bucket, floor(l_orderkey / 64) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS d FROM r)
-        SELECT bucket, count(*) AS n, CAST(count(*) FILTER (d = 1) AS BIGINT) AS n_steps FROM s GROUP BY 1 HAVING count(*) >= 15""",
+    "line_number_column": """WITH r AS (SELECT l_returnflag, CAST(floor(l_quantity / 25) AS INT) AS bucket, row_number() OVER (PARTITION BY l_returnflag, floor(l_quantity / 25) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS nth FROM lineitem),
+        m AS (SELECT *, CASE WHEN nth % 7 = 0 OR (nth % 2 = 0 AND bucket % 2 = 1) THEN -nth ELSE nth END AS num FROM r),
+        s AS (SELECT l_returnflag, bucket, num - lag(num) OVER (PARTITION BY l_returnflag, bucket ORDER BY nth) AS d FROM m),
+        c AS (SELECT l_returnflag, bucket, count(*) AS n, CAST(count(*) FILTER (d = 1) AS BIGINT) AS steps FROM s GROUP BY 1, 2 HAVING count(*) >= 15)
+        SELECT * FROM c WHERE steps >= 0.6 * (n - 1) QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY steps DESC, bucket) = 1""",
     "classify_pairs": f"""WITH v(id, old, new, p1, p2, p3, heading, cited) AS (VALUES {values(PAIRS)})
         SELECT id, CASE WHEN old = new THEN 'same'
           WHEN NOT regexp_matches(old, '[0-9]') OR NOT regexp_matches(new, '[0-9]') OR regexp_replace(old, '[0-9.]+', '#', 'g') <> regexp_replace(new, '[0-9.]+', '#', 'g') THEN 'text'
@@ -137,8 +139,11 @@ ORACLES: dict[str, str] = {
         l AS (SELECT name, regexp_extract(lower(name), '(?:^|[^a-z])v([0-9]+(?:[._r][0-9]+)*)', 1) AS num FROM n)
         SELECT name, CASE WHEN num <> '' THEN 'v' || replace(num, '_', '.') END AS label,
           CASE WHEN num <> '' THEN regexp_replace(array_to_string(list_transform(string_split_regex(num, '[._r]'), lambda p: CAST(CAST(p AS INT) AS VARCHAR)), '.'), '(\\.0)+$', '') END AS version FROM l""",
-    "version_order": """WITH n AS (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host, TRY_CAST(regexp_extract(url, '/([0-9]+)(?:[?#]|$)', 1) AS INT) AS number FROM pages)
-        SELECT page_id, host, number, CAST(row_number() OVER (PARTITION BY host ORDER BY number NULLS LAST, page_id) AS INT) AS place FROM n QUALIFY place <= 2""",
+    "version_order": """WITH n AS (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host, regexp_extract(url, '/([0-9]+(?:-[0-9]+)*)(?:[?#]|$)', 1) AS v FROM pages),
+        k AS (SELECT *, list_transform(string_split(v, '-'), lambda p: TRY_CAST(p AS INT)) AS key FROM n)
+        SELECT page_id, host, replace(v, '-', '.') AS version, CAST(row_number() OVER (PARTITION BY host ORDER BY v = '', coalesce(key[1], 0), coalesce(key[2], 0), coalesce(key[3], 0), coalesce(key[4], 0), page_id) AS INT) AS place FROM k""",
+    "newest_versions": """WITH n AS (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host, TRY_CAST(regexp_extract(url, '/([0-9]+)(?:[?#]|$)', 1) AS INT) AS number FROM pages)
+        SELECT page_id, host FROM n QUALIFY row_number() OVER (PARTITION BY host ORDER BY number DESC NULLS FIRST, page_id DESC) <= 2""",
     "retention": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 30",
     "cache_miss": "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)",
     "entries_union": """SELECT 'text' AS type, o_orderkey AS id, round(o_custkey * 10000.0::DOUBLE + o_totalprice % 1000, 3) AS pos FROM orders WHERE o_orderstatus = 'F'
@@ -147,7 +152,7 @@ ORACLES: dict[str, str] = {
     "category_counts": f"WITH {STATUSES} SELECT status, count(*) AS n FROM st GROUP BY 1",
     "section_counts": "SELECT source, lang, count(*) AS n, CAST(count(*) FILTER (regexp_matches(text, '[0-9]')) AS BIGINT) AS n_numeric FROM documents GROUP BY 1, 2",
     "ink_ratio": f"WITH {PANELS} SELECT vec_id, round(ratio, 9) AS ratio FROM pp WHERE NOT gone",
-    "panel_states": f"WITH {PANELS} SELECT vec_id, CASE WHEN gone THEN 'removed' WHEN label <> other_label THEN 'new' WHEN ratio > 0.5 THEN 'changed' ELSE 'same' END AS state FROM pp",
+    "panel_states": f"WITH {PANELS} SELECT vec_id, CASE WHEN gone THEN 'removed' WHEN label = other_label THEN 'same' WHEN ratio > 0.5 THEN 'changed' ELSE 'same' END AS state FROM pp",
     "html_text_lines": """WITH s AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'gs'), '<[^>]*>', chr(10), 'g') AS t FROM pages),
         l AS (SELECT page_id, unnest(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')) AS line FROM s)
         SELECT page_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM l GROUP BY 1""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import alignment, matching, objects, raster, review, shingles, windows
+from ..operators import alignment, layout, matching, objects, raster, reporting, resolve, review, shingles, store, windows
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,12 +133,15 @@ def consecutive_share(spark, sf):
 
 @query
 def line_number_column(spark, sf):
-    """The column of numbers, by bucket of its place, with most steps of one; at least 15 numbers, six tenths of them so."""
-    bucket = F.floor(F.col("l_quantity") / 2).cast("int")
-    rows = table(spark, sf, "lineitem").select(bucket.alias("bucket"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    line = W.partitionBy("bucket", F.floor(F.col("l_orderkey") / 64)).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    steps = rows.withColumn("step", (F.col("l_linenumber") - F.lag("l_linenumber").over(line) == 1).cast("int"))
-    return steps.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.coalesce("step", F.lit(0))).cast("long").alias("n_steps")).where("n >= 15")
+    """The column of numbers (a bucket of places), for each return flag, with most steps of one; at least 15 numbers, six
+    tenths of the steps so."""
+    bucket = F.floor(F.col("l_quantity") / 25).cast("int")
+    rows = table(spark, sf, "lineitem").select("l_returnflag", bucket.alias("bucket"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("place"))
+    dense = F.row_number().over(W.partitionBy("l_returnflag", "bucket").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    # Numbers that rise by one but for every seventh, and in odd buckets for every second.
+    num = F.when((F.col("nth") % 7 == 0) | ((F.col("nth") % 2 == 0) & (F.col("bucket") % 2 == 1)), -F.col("nth")).otherwise(F.col("nth"))
+    numbered = rows.withColumn("nth", dense).withColumn("num", num)
+    return layout.steady_columns(numbered, ["l_returnflag"], ["bucket"], ["nth"])
 
 
 PAIRS = [
@@ -301,22 +304,14 @@ def ref_status_rank(spark, sf):
 @query
 def lead_status(spark, sf):
     """The first status that is resolved, else the first."""
-    rows = _statuses(spark, sf).groupBy("source").agg(F.min_by("status", F.struct((F.col("status") == "unresolved").alias("u"), "doc_id")).alias("status"))
-    return rows
+    return resolve.lead_status(_statuses(spark, sf), ["source"], "doc_id")
 
 
 @query
 def segments_context(spark, sf):
     """Capitalised words of a turn with four words around them: runs of changed and context words."""
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(X.words("text")).alias("pos", "word"))
-    changed = F.col("word").rlike("^[A-Z]")
-    near = W.partitionBy("conv_id", "turn").orderBy("pos").rowsBetween(-4, 4)
-    shown = rows.withColumn("changed", changed).withColumn("near", F.max("changed").over(near)).where("near").withColumn("run", F.concat_ws("", F.col("changed").cast("string")))
-    line = W.partitionBy("conv_id", "turn").orderBy("pos")
-    starts = F.coalesce((F.lag("pos").over(line) != F.col("pos") - 1) | (F.lag("changed").over(line) != F.col("changed")), F.lit(True))
-    runs = shown.withColumn("_starts", starts.cast("int")).withColumn("segment", (F.sum("_starts").over(line.rowsBetween(W.unboundedPreceding, 0)) - 1).cast("int"))
-    words = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"])
-    return runs.groupBy("conv_id", "turn", "segment", "changed").agg(F.array_join(words, " ").alias("text"))
+    return reporting.segments(rows.withColumn("changed", F.col("word").rlike("^[A-Z]")), ["conv_id", "turn"], "pos", "word", "changed")
 
 
 def _boxes(spark, sf, *keep):
@@ -366,42 +361,50 @@ def version_labels(spark, sf):
 
 @query
 def version_order(spark, sf):
-    """Pages by the version in their path: its numbers, longer versions after their beginnings."""
-    number = F.regexp_extract("url", "/([0-9]+)(?:[?#]|$)", 1).try_cast("int")
-    host = F.regexp_extract("url", "//([^/]+)", 1)
-    place = W.partitionBy("host").orderBy(F.col("number").asc_nulls_last(), "page_id")
-    return table(spark, sf, "pages").select("page_id", host.alias("host"), number.alias("number")).withColumn("place", F.row_number().over(place)).where("place <= 2")
+    """Pages by the version in their path: its numbers, missing ones as zero, those without one last."""
+    found = F.regexp_extract("url", "/([0-9]+(?:-[0-9]+)*)(?:[?#]|$)", 1)
+    key = F.transform(F.filter(F.split(found, "-"), lambda p: p != ""), lambda p: p.cast("int"))
+    pages = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("host"), key.alias("key"))
+    return reporting.version_places(pages, ["host"], "key", "page_id").select("page_id", "host", F.array_join(F.col("key").cast("array<string>"), ".").alias("version"), "place")
+
+
+@query
+def newest_versions(spark, sf):
+    """The two newest versions of each host."""
+    found = F.regexp_extract("url", "/([0-9]+)(?:[?#]|$)", 1)
+    key = F.transform(F.filter(F.array(found), lambda p: p != ""), lambda p: p.cast("int"))
+    pages = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("host"), key.alias("key"))
+    return reporting.newest(pages, ["host"], "key", "page_id").select("page_id", "host")
 
 
 @query
 def retention(spark, sf):
     """The thirty newest entries stay."""
-    return table(spark, sf, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(30)
+    return store.newest_rows(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", store.KEPT_VERSIONS)
 
 
 @query
 def cache_miss(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    return store.missing(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels"), ["doc_id"])
 
 
 @query
 def entries_union(spark, sf):
     """Text changes, figures and renumberings in one list by place."""
-    text = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.lit("text").alias("type"), F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 10000.0 + F.col("o_totalprice") % 1000).alias("pos"))
-    figures = table(spark, sf, "part").where("p_size > 40").select(F.lit("figure").alias("type"), F.col("p_partkey").alias("id"), (F.col("p_size") * 10000.0).alias("pos"))
-    renumbered = table(spark, sf, "supplier").select(F.lit("renumber").alias("type"), F.col("s_suppkey").alias("id"), (F.col("s_nationkey") * 10000.0 - 0.1).alias("pos"))
-    return text.unionByName(figures).unionByName(renumbered).select("type", "id", F.round("pos", 3).alias("pos"))
+    at = lambda name, where, id_, page, y: table(spark, sf, name).where(where).select(F.col(id_).alias("id"), F.col(page).cast("double").alias("page"), y.alias("y"))
+    text = at("orders", "o_orderstatus = 'F'", "o_orderkey", "o_custkey", F.col("o_totalprice") % 1000)
+    figures, renumbered = at("part", "p_size > 40", "p_partkey", "p_size", F.lit(0.0)), at("supplier", "true", "s_suppkey", "s_nationkey", F.lit(0.0))
+    return reporting.entries(text, figures, renumbered).select("type", "id", F.round("pos", 3).alias("pos"))
 
 
 @query
 def category_counts(spark, sf):
-    return _statuses(spark, sf).groupBy("status").agg(F.count("*").alias("n"))
+    return reporting.counts_by(_statuses(spark, sf), "status")
 
 
 @query
 def section_counts(spark, sf):
-    numeric = F.col("text").rlike("[0-9]")
-    return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_if(numeric).alias("n_numeric"))
+    return reporting.counts_by(table(spark, sf, "documents"), "source", "lang", n_numeric=F.col("text").rlike("[0-9]"))
 
 
 def _panel_pairs(spark, sf):
@@ -418,8 +421,10 @@ def ink_ratio(spark, sf):
 
 @query
 def panel_states(spark, sf):
+    """Vectors as panels of the old version against the next one: equal labels as equal graphics, else their ink tells."""
     ratio = G.ink_ratio(F.col("raster"), F.col("other"), 0.1, 0.2, 5.0)
-    state = F.when(F.col("other").isNull(), "removed").when(F.col("label") != F.col("other_label"), "new").when(ratio > 0.5, "changed").otherwise("same")
+    c = F.col
+    state = reporting.panel_state(F.lit("changed"), c("vec_id"), c("other_label"), c("label") == c("other_label"), F.when(c("other").isNotNull(), ratio), "a", 0.5)
     return _panel_pairs(spark, sf).select("vec_id", state.alias("state"))
 
 
@@ -448,8 +453,7 @@ def body_geometry(spark, sf):
 @query
 def page_heights(spark, sf):
     """Where each conversation turn begins when turns are stacked by their length."""
-    line = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(F.sum(F.length("text")).over(line), F.lit(0)).alias("top"))
+    return reporting.stacked_tops(table(spark, sf, "conversations"), ["conv_id"], "turn", F.length("text"))
 
 
 @query
@@ -514,19 +518,16 @@ def review_references(spark, sf):
 @query
 def unused_files(spark, sf):
     """Files (parts) that none of the fifteen newest workspaces (orders) has."""
-    newest = table(spark, sf, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(15)
-    used = table(spark, sf, "lineitem").join(newest.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    return table(spark, sf, "part").select("p_partkey").join(used.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    newest = store.newest_rows(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "o_orderdate", "l_orderkey", store.KEPT_WORKSPACES)
+    versions = table(spark, sf, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
+    return store.unused(table(spark, sf, "part").select("p_partkey"), versions, newest, "l_orderkey", "p_partkey")
 
 
 @query
 def summary_lines(spark, sf):
     """A list of labelled documents by source with a line for each new source before its items."""
-    rows = _statuses(spark, sf)
-    line = W.partitionBy("source").orderBy("doc_id")
     item = F.concat_ws(" ", F.lit("-"), F.col("doc_id").cast("string"), F.col("status"))
-    both = F.when(F.row_number().over(line) == 1, F.array(F.concat(F.lit("## "), F.col("source")), item)).otherwise(F.array(item))
-    return rows.select("source", "doc_id", both.alias("lines")).select("source", "doc_id", F.posexplode("lines").alias("part", "line"))
+    return reporting.with_headers(_statuses(spark, sf), "source", ["doc_id"], F.concat(F.lit("## "), F.col("source")), item)
 
 
 @query
