@@ -116,7 +116,7 @@ def title_version(title: str | Column) -> Column:
 def version_key(version: Column) -> Column:
     """The numbers of a version, for sorting; none for the empty version, which sorts last by `version_sort`."""
     parts = F.filter(F.split(version, "[._r]"), lambda p: p != "")
-    return F.transform(parts, lambda p: p.cast("int"))
+    return F.transform(parts, lambda p: p.try_cast("int"))
 
 
 def same_version(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from collatrix.plans import oracles, queries
+from collatrix.plans import oracles, queries, reports  # noqa: F401  reports registers queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
