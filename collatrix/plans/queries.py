@@ -45,9 +45,10 @@ def doc_tokens(spark, sf):
 
 @query
 def token_forms(spark, sf):
-    """Tokens that the normal form changes, with how often they occur."""
-    tokens = table(spark, sf, "documents").select(F.explode(X.words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return tokens.withColumn("norm", X.normalize_token("word")).where("word <> norm")
+    """Words in typographic quotes, with an ellipsis, in their normal form, and how often they occur. Each distinct word is
+    normalised once."""
+    words = table(spark, sf, "documents").select(F.explode(X.words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.withColumn("norm", X.normalize_token(F.concat(F.lit("\u201c"), "word", F.lit("\u2019\u2026"))))
 
 
 @query
@@ -510,9 +511,13 @@ def raster_scores(spark, sf):
 
 @query
 def review_references(spark, sf):
-    """References in documents read as reviews."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("review_id"), "text")
-    return review.remark_references(docs).groupBy("kind").agg(F.count("*").alias("n"))
+    """References in reviews made of documents: a round with an item that cites lines, a figure and two tables, and a
+    remark that quotes."""
+    n = F.col("doc_id").cast("string")
+    lines = F.array(F.lit("## Round 1 comments"), F.lit(""), F.concat(F.lit("- L"), F.col("doc_id") % 900 + 1, F.lit("-"), F.col("doc_id") % 900 + 3, F.lit(": see Fig. "), n), F.concat(F.lit("- Tables "), n, F.lit(" and "), F.col("doc_id") + 1, F.lit(": keep both")), F.concat(F.lit("- Eq. ("), n, F.lit("): define it")))
+    reviews = table(spark, sf, "documents").select(n.alias("review_id"), F.array_join(lines, "\n").alias("text"))
+    found = review.remark_references(reviews)
+    return found.groupBy("kind").agg(F.count("*").alias("n"), F.sum("first").alias("first"), F.sum(F.size("ids")).alias("n_ids"), F.sum("item").alias("items"))
 
 
 @query

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import layout, reporting, resolve, store, structure
 from ..sources.tables import table
-from .oracles import ORACLES
+from .oracles import ORACLES, VOTES
 from .queries import query
 
 c = F.col
@@ -467,3 +467,19 @@ def comment_history(spark, sf):
 
 
 ORACLES["comment_history"] = "SELECT doc_id, 'v' || p AS version FROM labels, range(0, 4) t(p) WHERE p > doc_id % 4"
+
+
+# ---------------------------------------------------------------------------------------------- SQL of earlier queries
+
+ORACLES["token_forms"] = f"""WITH w AS (SELECT unnest({WORDS.format("text")}) AS word FROM documents)
+    SELECT word, count(*) AS n, '"' || nfc_normalize(word) || '''...' AS norm FROM w GROUP BY 1"""
+ORACLES["review_references"] = """SELECT 'line' AS kind, count(*) AS n, CAST(sum(doc_id % 900 + 1) AS BIGINT) AS first, CAST(0 AS BIGINT) AS n_ids, CAST(0 AS BIGINT) AS items FROM documents
+    UNION ALL SELECT 'figure', count(*), 0, count(*), 0 FROM documents UNION ALL SELECT 'table', count(*), 0, 2 * count(*), count(*) FROM documents UNION ALL SELECT 'equation', count(*), 0, count(*), 2 * count(*) FROM documents"""
+ORACLES["page_pairs"] = f"""WITH {VOTES}, sz AS (SELECT doc_id, CAST(max(pos) // 40 + 1 AS INT) AS n FROM uq GROUP BY 1), pr AS (SELECT DISTINCT a, b FROM best),
+    pg AS (SELECT pr.a, pr.b, x.n AS an, y.n AS bn FROM pr JOIN sz x ON x.doc_id = pr.a JOIN sz y ON y.doc_id = pr.b),
+    nw AS (SELECT pg.a, pg.b, CAST(p AS INT) AS b_page, s.a_page AS want FROM pg, unnest(range(0, bn)) t(p) LEFT JOIN best s ON s.a = pg.a AND s.b = pg.b AND s.b_page = p),
+    n2 AS (SELECT a, b, b_page, CASE WHEN want IS NOT NULL AND row_number() OVER (PARTITION BY a, b, want ORDER BY b_page) = 1 THEN want END AS a_page FROM nw),
+    od AS (SELECT pg.a, pg.b, CAST(p AS INT) AS a_page FROM pg, unnest(range(0, an)) t(p) WHERE NOT EXISTS (SELECT 1 FROM n2 WHERE n2.a = pg.a AND n2.b = pg.b AND n2.a_page = p)),
+    pl AS (SELECT od.a, od.b, od.a_page, coalesce(max(n2.b_page), -1) + 0.5 AS place FROM od LEFT JOIN n2 ON n2.a = od.a AND n2.b = od.b AND n2.a_page < od.a_page GROUP BY 1, 2, 3),
+    al AS (SELECT a, b, a_page, b_page, CAST(b_page AS DOUBLE) AS place FROM n2 UNION ALL SELECT a, b, a_page, NULL, place FROM pl)
+    SELECT a, b, CAST(row_number() OVER (PARTITION BY a, b ORDER BY place, a_page NULLS FIRST) - 1 AS INT) AS seq, a_page, b_page FROM al"""
