@@ -42,6 +42,8 @@ LENGTH, GRAM = 100, 32
 SHALLOW = 24
 #: Bytes hashed at once, anchors that a scan task holds before it ships them, bytes of text that a bucket or partition stands for.
 BLOCK, HELD, BUCKET_BYTES, PART_BYTES = 1 << 17, 1 << 17, 8 << 20, 16 << 20
+#: Rows compared at once in the tries.
+COMPARED = 1 << 15
 #: Segments of one anchor beyond which their windows are dealt out one by one.
 HOT_SEGMENTS = 2048
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -312,19 +314,20 @@ def cutter(buckets: int, text_column: str):
     return run
 
 
-def multikey_order(suffixes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def multikey_order(windows: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Multikey quicksort on words of eight bytes: (order, first place of each row's group at this depth).
 
-    Rows are byte strings of equal length. At each word only rows whose group has two members or more are sorted.
+    Rows are byte strings of equal length, `windows[start]`, which is never made as a whole. At each word only rows whose
+    group has two members or more are sorted.
     """
-    n = len(suffixes)
+    n = len(start)
     order, group = np.arange(n), np.zeros(n, np.int64)
     active = np.arange(n)
     for at in range(0, depth, 8):
         if not len(active):
             break
         rows = order[active]
-        word = np.ascontiguousarray(suffixes[rows, at : at + 8]).view(">u8").ravel().astype(np.uint64)
+        word = np.ascontiguousarray(windows[start[rows], at : at + 8]).view(">u8").ravel().astype(np.uint64)
         sub = np.lexsort((word, group[active]))
         order[active], word = rows[sub], word[sub]
         own = group[active]
@@ -335,7 +338,7 @@ def multikey_order(suffixes: np.ndarray, depth: int) -> tuple[np.ndarray, np.nda
     return order, group
 
 
-def blind_tries(suffixes: np.ndarray, order: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+def blind_tries(windows: np.ndarray, start: np.ndarray, order: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
     """Orders the rows inside each group by blind tries, all groups a level at a time; returns the groups of equal rows.
 
     A node skips to the first byte at which its rows differ from its first row, and branches on that byte alone. A
@@ -347,14 +350,17 @@ def blind_tries(suffixes: np.ndarray, order: np.ndarray, group: np.ndarray, dept
     while len(active):
         own = group[active]
         rows, lead = order[active], order[own]
-        differs = suffixes[rows, depth:] != suffixes[lead, depth:]
-        first = np.where(differs.any(axis=1), differs.argmax(axis=1), suffixes.shape[1])
+        first = np.empty(len(active), np.int64)
+        for k in range(0, len(active), COMPARED):
+            some = slice(k, k + COMPARED)
+            differs = windows[start[rows[some]], depth:] != windows[start[lead[some]], depth:]
+            first[some] = np.where(differs.any(axis=1), differs.argmax(axis=1), windows.shape[1])
         heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         counts = np.diff(np.r_[heads, len(own)])
         skip = np.repeat(np.minimum.reduceat(first, heads), counts)
-        inner = skip < suffixes.shape[1]
+        inner = skip < windows.shape[1]
         active, own, rows, skip = active[inner], own[inner], rows[inner], skip[inner]
-        branch = suffixes[rows, depth + skip]
+        branch = windows[start[rows], depth + skip]
         sub = np.lexsort((branch, own))
         order[active], branch = rows[sub], branch[sub]
         new = np.r_[True, (own[1:] != own[:-1]) | (branch[1:] != branch[:-1])][: len(own)]
@@ -364,10 +370,11 @@ def blind_tries(suffixes: np.ndarray, order: np.ndarray, group: np.ndarray, dept
     return group
 
 
-def deep_shallow(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def deep_shallow(windows: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(order, group): rows in byte order, and the first place of the run of equal rows that each place belongs to."""
-    order, group = multikey_order(suffixes, SHALLOW)
-    return order, blind_tries(suffixes, order, group, SHALLOW)
+    start = np.arange(len(windows)) if start is None else start
+    order, group = multikey_order(windows, start, SHALLOW)
+    return order, blind_tries(windows, start, order, group, SHALLOW)
 
 
 def sort_bucket(table: pa.Table) -> pa.Table:
@@ -382,10 +389,10 @@ def sort_bucket(table: pa.Table) -> pa.Table:
         begin = np.cumsum(lengths) - lengths
         start = ragged(begin, counts)
         segment = np.repeat(np.arange(len(texts)), counts)
-        suffixes = np.lib.stride_tricks.sliding_window_view(buffer, LENGTH)[start]
+        windows = np.lib.stride_tricks.sliding_window_view(buffer, LENGTH)
         ids, keys = own["id"].to_numpy(), own["key"].to_numpy()
         lo = own["lo"].to_numpy()[segment] + start - begin[segment]
-        order, group = deep_shallow(suffixes)
+        order, group = deep_shallow(windows, start)
         value = np.empty(len(order), np.int64)
         value[order] = group
         rows, later = not_first((value,), ids[segment], lo)
