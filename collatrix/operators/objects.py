@@ -143,3 +143,27 @@ def pair_pages(best: DataFrame, pages: DataFrame) -> DataFrame:
     rows = new.select("a", "b", "a_page", "b_page", F.col("b_page").cast("double").alias("place")).unionByName(after.select("a", "b", "a_page", F.lit(None).cast("int").alias("b_page"), (F.coalesce(F.col("y"), F.lit(-1)) + 0.5).alias("place")))
     order = W.partitionBy("a", "b").orderBy("place", "a_page")
     return rows.select("a", "b", (F.row_number().over(order) - 1).cast("int").alias("seq"), "a_page", "b_page")
+
+
+def in_series_order(pairs: DataFrame, similar: DataFrame) -> DataFrame:
+    """(pair_id, a, b): pairs of a series of look-alikes in order: two that cross change partners where either caption is
+    like the other's partner. Pairs: (pair_id, a, b); similar: (pair_id, a, b). A pair of versions is one row."""
+    alike = similar.groupBy("pair_id").agg(F.collect_set(F.struct("a", "b")).alias("alike"))
+    rows = pairs.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("pairs")).join(alike, "pair_id", "left")
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for pair, own, near in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "pairs", "alike"))):
+                a, b = [p["a"] for p in own], [p["b"] for p in own]
+                like = {(s["a"], s["b"]) for s in near or []}
+                for i, j in ((i, j) for i in range(len(a)) for j in range(i + 1, len(a))):
+                    if b[i] > b[j] and (a[i], b[j]) in like and (a[j], b[i]) in like:
+                        b[i], b[j] = b[j], b[i]
+                out += zip([pair] * len(a), a, b)
+            columns = list(zip(*out)) or [(), (), ()]
+            kinds = (batch.schema.field("pair_id").type, pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["pair_id", "a", "b"])
+
+    return rows.select("pair_id", "pairs", "alike").mapInArrow(run, f"pair_id {kind}, a int, b int")

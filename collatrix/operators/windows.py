@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,3 +46,24 @@ def interpolate(by: Sequence[str], order: Sequence[str], x: Column, y: Column) -
     x1, y1 = F.first(anchor, ignorenulls=True).over(after), F.first(y, ignorenulls=True).over(after)
     between = y0 + (y1 - y0) * (x - x0) / (x1 - x0)
     return F.when(x0.isNull(), y1).when(x1.isNull() | (x1 == x0), y0).otherwise(between)
+
+
+def rising_anchors(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """(by, x, y): of each group's points the longest chain that rises in both, for scrolling one side by the other. Of
+    points at one x the first counts. A group (the lines of a pair of documents) is one row."""
+    from .alignment import rising_chain  # alignment reads this module too
+
+    once = rows.groupBy(by, F.col(x).cast("double").alias("x")).agg(F.min(F.col(y).cast("double")).alias("y"))
+    packed = once.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points"))
+    kind = rows.schema[by].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, points in zip(batch.column(by).to_pylist(), batch.column("points").to_pylist()):
+                out += [(key, points[k]["x"], points[k]["y"]) for k in rising_chain(np.array([p["y"] for p in points]))]
+            columns = list(zip(*out)) or [(), (), ()]
+            kinds = (batch.schema.field(by).type, pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[by, x, y])
+
+    return packed.mapInArrow(run, f"{by} {kind}, {x} double, {y} double")

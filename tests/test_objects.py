@@ -1,3 +1,4 @@
+from collatrix.operators import objects, windows
 from collatrix.operators import objects as O
 
 OBJECT = "pair_id int, id int, kind string, number string, caption string, page int, pages int, box struct<x0:double,y0:double,x1:double,y1:double>, hashes array<string>"
@@ -36,3 +37,15 @@ def test_pages(spark):
     pages = spark.createDataFrame([(1, 2, 4, 4)], "a int, b int, a_pages int, b_pages int")
     rows = O.pair_pages(best, pages).orderBy("seq").collect()
     assert [(r.b_page, r.a_page) for r in rows] == [(0, 0), (None, 1), (1, 2), (2, 3), (3, None)]
+
+
+def test_look_alikes_keep_their_order(spark):
+    pairs = spark.createDataFrame([("p", 0, 2), ("p", 1, 1), ("p", 2, 0), ("q", 0, 1), ("q", 1, 0)], "pair_id string, a int, b int")
+    similar = spark.createDataFrame([("p", a, b) for a in range(3) for b in range(3)], "pair_id string, a int, b int")
+    got = sorted(tuple(r) for r in objects.in_series_order(pairs, similar).collect())
+    assert got == [("p", 0, 0), ("p", 1, 1), ("p", 2, 2), ("q", 0, 1), ("q", 1, 0)]
+
+
+def test_scroll_anchors_rise_on_both_sides(spark):
+    rows = spark.createDataFrame([("d", 1.0, 10.0), ("d", 2.0, 50.0), ("d", 2.0, 12.0), ("d", 3.0, 11.0), ("d", 4.0, 20.0)], "doc string, x double, y double")
+    assert [tuple(r)[1:] for r in windows.rising_anchors(rows, "doc", "x", "y").orderBy("x").collect()] in ([(1.0, 10.0), (2.0, 12.0), (4.0, 20.0)], [(1.0, 10.0), (3.0, 11.0), (4.0, 20.0)])
