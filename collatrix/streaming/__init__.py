@@ -1 +1 @@
-
+"""Versions that arrive over time; an extension beside the batch operators."""
