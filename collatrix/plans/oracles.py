@@ -117,6 +117,7 @@ ORACLES: dict[str, str] = {
         for kind, pattern in (
             ("figure", r"\b(?:Fig(?:ure)?s?\.?|figs?\.) ?([0-9]+[a-z]?)"),
             ("table", r"\b(?:Tab(?:le)?s?\.?|tabs?\.) ?([0-9]+)"),
+            ("table", r"\b(?:Tab(?:le)?s?\.?|tabs?\.) ?[0-9]+ and ([0-9]+)"),
             ("equation", r"\b(?:Eq(?:uation)?s?\.?|eqs?\.) ?\(?([0-9]+)"),
             ("section", r"\b(?:[Ss]ec(?:tion)?s?\.?|[Cc]hapter|App(?:endix)?\.?) ?((?:[0-9]+|[A-Z])(?:\.[0-9]+)*)\b"),
             ("cite", r"\b(?:Refs?\.?|refs?\.?) ?\[?([0-9]+)"),
