@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 from .common import giving_back, in_chunks, ragged
 from .tokenizer_file import load
 
-CHUNK_BYTES = 2 << 20
-MOST_WORDS = 300_000
+CHUNK_BYTES = 1 << 20
+MOST_WORDS = 200_000
 #: Words encoded and, about, ids decoded at once.
-ENCODED, DECODED = 4096, 1 << 18
+ENCODED, DECODED = 2048, 1 << 17
 
 Batches = Iterable[pa.RecordBatch]
 
