@@ -471,20 +471,25 @@ def page_pairs(spark, sf):
     return objects.pair_pages(best, pages)
 
 
-def _caption_objects(spark, sf, version):
-    """Turns of conversations as captions of figures: users' of the old version, assistants' of the new."""
-    role = "user" if version == "a" else "assistant"
-    box = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1"))
-    return table(spark, sf, "conversations").where(F.col("role") == role).select(
-        F.col("conv_id").alias("pair_id"), F.floor(F.col("turn") / 2).cast("int").alias("id"), F.lit("table").alias("kind"), F.floor(F.col("turn") / 2).cast("string").alias("number"), F.col("text").alias("caption"),
-        F.col("turn").cast("int").alias("page"), F.lit(8).alias("pages"), box.alias("box"), F.array().cast("array<string>").alias("hashes"),
+def _float_objects(spark, sf, side):
+    """Vectors as floats, twenty to a pair of versions: even ones of the old, odd ones of the new, benchmark passages as
+    captions, labels as numbers, every third with its label as fingerprint."""
+    rows = _boxes(spark, sf).where(F.col("vec_id") % 2 == side)
+    captions = table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("caption"))
+    number = F.when(F.col("label") > 0, F.col("label").cast("string")).otherwise("")
+    placed = rows.withColumn("item", F.floor(F.col("vec_id") / 2) % 40).join(captions, "item", "left")
+    return placed.select(
+        F.floor(F.col("vec_id") / 20).alias("pair_id"), F.col("vec_id").cast("int").alias("id"), F.when(F.col("label") % 2 == 0, "figure").otherwise("table").alias("kind"), number.alias("number"), "caption",
+        (F.col("vec_id") % 5).cast("int").alias("page"), F.lit(8).alias("pages"), F.struct("x0", "y0", "x1", "y1").alias("box"), F.when(F.col("vec_id") % 6 < 2, F.array(F.col("label").cast("string"))).otherwise(F.array().cast("array<string>")).alias("hashes"),
     )
 
 
 @query
 def object_pairs(spark, sf):
-    none = spark.createDataFrame([], "pair_id long, a int, b int, score double")
-    return objects.pair_objects(_caption_objects(spark, sf, "a"), _caption_objects(spark, sf, "b"), none)
+    """Pairs by every tier: aligned text for every fourth float, equal graphics, captions, numbers, places."""
+    a, b = _float_objects(spark, sf, 0), _float_objects(spark, sf, 1)
+    votes = a.where("id % 8 = 0").select("pair_id", F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(0.9).alias("score"))
+    return objects.pair_objects(a, b, votes)
 
 
 @query
